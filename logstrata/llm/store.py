@@ -1,0 +1,49 @@
+"""Scratch tables in the cluster's shared folder.
+
+Iterative operators cut their lineage here: a stage is written as Parquet below
+``spark.checkpoint.dir`` and read back, so that a lost executor costs a re-read
+of the file and never a recomputation of the whole chain.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_CONF = "spark.checkpoint.dir"
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder; a local one is set only where the session names none."""
+    root = spark.conf.get(_CONF, None)
+    if not root:
+        root = f"file://{tempfile.mkdtemp(prefix='logstrata-')}"
+        spark.conf.set(_CONF, root)
+    return root.rstrip("/")
+
+
+def materialize(frame: DataFrame, label: str) -> DataFrame:
+    """Write ``frame`` once and return it read back from the shared folder."""
+    spark = frame.sparkSession
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete scratch tables that no later plan reads."""
+    for frame in frames:
+        spark = frame.sparkSession
+        root = scratch_root(spark)
+        for file in frame.inputFiles()[:1]:
+            folder = file.rsplit("/", 1)[0]
+            if folder.removeprefix("file:").lstrip("/").startswith(root.removeprefix("file:").lstrip("/")):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def width(spark: SparkSession) -> int:
+    """Partitions of a shuffle in this session."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
