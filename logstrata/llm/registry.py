@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, editprint, mixing, packing
+from . import chat, editprint, mixing, packing, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,16 +39,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.source").alias("source"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(_read(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.compare_neighbours(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op3_chat_formatting": op3_chat_formatting, "op6_mixing": op6_mixing, "op10_fingerprints": op10_fingerprints}
+    return {"op2_packing": op2_packing, "op3_chat_formatting": op3_chat_formatting, "op6_mixing": op6_mixing, "op7_substring_dedup": op7_substring_dedup, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": CHAT_SQL}
+    return {"op3_chat_formatting": CHAT_SQL, "op7_substring_dedup": SUBSTRING_SQL}
 
 
 CHAT_SQL = r"""
@@ -70,3 +74,21 @@ SELECT conv_id, count(*) AS n_turns,
     AND bool_and(after IS NOT NULL OR role = 'assistant') AS valid
 FROM steps GROUP BY conv_id
 """
+
+SUBSTRING_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM split WHERE len(ws) >= 13)
+), least AS (
+  SELECT k, min(doc_id) AS m FROM windows GROUP BY k
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM windows JOIN least USING (k) WHERE m < doc_id
+), kept AS (
+  SELECT s.doc_id, count(g.j) AS n_removed, coalesce(string_agg(s.w, ' ' ORDER BY s.j) FILTER (WHERE g.j IS NULL), '') AS t
+  FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS j FROM split) s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.j = s.j
+  GROUP BY s.doc_id
+)
+SELECT split.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM split LEFT JOIN kept ON kept.doc_id = split.doc_id
+"""
