@@ -49,14 +49,12 @@ def _levels(sources: DataFrame, cap: float) -> tuple[float, float]:
     return float(total), float(level)
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17) -> DataFrame:
-    """One row per input row: ``_doc`` (the row), size, source_size, target, copies."""
+def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17, keep: tuple[str, ...] = ("*",)) -> DataFrame:
+    """One row per input row: ``_doc`` (the row's columns named in ``keep``), size, source_size, target, copies."""
     spark = docs.sparkSession
     parts = max(width(spark), 1)
-    key = F.when(F.col("_doc.source").isNotNull(), F.concat(F.lit("0"), F.col("_doc.source"))).otherwise(F.lit("1"))
-    rows = docs.select(F.struct("*").alias("_doc")).select(
-        "_doc", key.alias("_key"), word_count(F.col("_doc.text")).alias("size"), F.xxhash64(F.lit(seed), F.col("_doc.doc_id")).alias("_h"), F.monotonically_increasing_id().alias("_row")
-    )
+    key = F.when(F.col("source").isNotNull(), F.concat(F.lit("0"), F.col("source"))).otherwise(F.lit("1"))
+    rows = docs.select(F.struct(*keep).alias("_doc"), key.alias("_key"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_h"), F.monotonically_increasing_id().alias("_row"))
     order = ["_key", "size", "_h", "_row"]
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     placed = materialize(placed.drop("_h", "_row").withColumns({"_pid": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "mixing")
