@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, editprint, mixing, packing, substring
+from . import chat, editprint, minhash, mixing, packing, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,16 +43,20 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(_read(spark, sf_dir, "documents"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(_read(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.compare_neighbours(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op3_chat_formatting": op3_chat_formatting, "op6_mixing": op6_mixing, "op7_substring_dedup": op7_substring_dedup, "op10_fingerprints": op10_fingerprints}
+    return {"op2_packing": op2_packing, "op3_chat_formatting": op3_chat_formatting, "op6_mixing": op6_mixing, "op7_substring_dedup": op7_substring_dedup, "op9_minhash_dedup": op9_minhash_dedup, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": CHAT_SQL, "op7_substring_dedup": SUBSTRING_SQL}
+    return {"op3_chat_formatting": CHAT_SQL, "op7_substring_dedup": SUBSTRING_SQL, "op9_minhash_dedup": MINHASH_SQL}
 
 
 CHAT_SQL = r"""
@@ -92,3 +96,25 @@ WITH split AS (
 SELECT split.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM split LEFT JOIN kept ON kept.doc_id = split.doc_id
 """
+
+MINHASH_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' '))) AS g FROM split WHERE len(ws) >= 5
+    UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM split WHERE len(ws) BETWEEN 1 AND 4)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * common.n >= 75 * (p.n + q.n - common.n)
+), reach AS (
+  SELECT a AS node, a AS other FROM links UNION SELECT node, b FROM reach JOIN links ON a = other
+), parts AS (
+  SELECT node, min(other) AS c FROM reach GROUP BY node
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN parts p ON p.node = d.doc_id
+"""

@@ -29,6 +29,8 @@ def materialize(frame: DataFrame, label: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    # Shuffle files of written stages go when the driver's collector meets their handles.
+    spark._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(path)
 
 
