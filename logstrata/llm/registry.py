@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, editprint, minhash, mixing, packing, substring
+from . import capfilter, chat, editprint, linejoin, minhash, mixing, packing, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linejoin.classes(_read(spark, sf_dir, "documents"))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -34,6 +38,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.segments(turns))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilter.near_groups(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.plan(_read(spark, sf_dir, "documents"), keep=("doc_id", "source"))
     return drawn.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.source").alias("source"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -52,11 +60,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op3_chat_formatting": op3_chat_formatting, "op6_mixing": op6_mixing, "op7_substring_dedup": op7_substring_dedup, "op9_minhash_dedup": op9_minhash_dedup, "op10_fingerprints": op10_fingerprints}
+    return {"op1_line_dedup": op1_line_dedup, "op2_packing": op2_packing, "op3_chat_formatting": op3_chat_formatting, "op5_embedding_dedup": op5_embedding_dedup, "op6_mixing": op6_mixing, "op7_substring_dedup": op7_substring_dedup, "op9_minhash_dedup": op9_minhash_dedup, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": CHAT_SQL, "op7_substring_dedup": SUBSTRING_SQL, "op9_minhash_dedup": MINHASH_SQL}
+    return {"op3_chat_formatting": CHAT_SQL, "op5_embedding_dedup": EMBEDDING_SQL, "op7_substring_dedup": SUBSTRING_SQL, "op9_minhash_dedup": MINHASH_SQL}
 
 
 CHAT_SQL = r"""
@@ -118,3 +126,22 @@ WITH RECURSIVE split AS (
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN parts p ON p.node = d.doc_id
 """
+
+EMBEDDING_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), good AS (
+  SELECT r, vec_id, e, len(e) AS d, sqrt(list_dot_product(e, e)) AS size FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(e, e) > 0
+), links AS (
+  SELECT x.r AS a, y.r AS b FROM good x JOIN good y ON x.r <> y.r AND x.d = y.d AND list_dot_product(x.e, y.e) / (x.size * y.size) >= 0.95
+), reach AS (
+  SELECT a AS node, a AS other FROM links UNION SELECT node, b FROM reach JOIN links ON a = other
+), parts AS (
+  SELECT node, min(w.vec_id) AS c FROM reach JOIN v w ON w.r = other GROUP BY node
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, v.vec_id) AS component_id, coalesce(c, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN counts ON counts.a = v.r LEFT JOIN parts ON parts.node = v.r
+"""
