@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capfilter, chat, editprint, linejoin, minhash, mixing, packing, substring
+from . import capfilter, chat, editprint, linejoin, minhash, mixing, packing, quality, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.segments(turns))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilter.near_groups(_read(spark, sf_dir, "embeddings"))
 
@@ -51,6 +55,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(_read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(_read(spark, sf_dir, "documents"))
 
@@ -60,7 +68,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_packing": op2_packing, "op3_chat_formatting": op3_chat_formatting, "op5_embedding_dedup": op5_embedding_dedup, "op6_mixing": op6_mixing, "op7_substring_dedup": op7_substring_dedup, "op9_minhash_dedup": op9_minhash_dedup, "op10_fingerprints": op10_fingerprints}
+    found = (op1_line_dedup, op2_packing, op3_chat_formatting, op4_quality, op5_embedding_dedup, op6_mixing, op7_substring_dedup, op8_toxicity, op9_minhash_dedup, op10_fingerprints)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

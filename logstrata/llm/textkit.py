@@ -97,8 +97,8 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         a = min(b, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False, hashes: bool = True):
-    """(starts, ends, hashes, first): byte spans and hashes of all words; text i has words first[i]:first[i+1]."""
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False, hashes: bool = True, head: int | None = None):
+    """(starts, ends, hashes, first): byte spans of all words and hashes of them (of their first ``head`` bytes); text i has words first[i]:first[i+1]."""
     space, table = _space_table(), _byte_table(fold)
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -120,7 +120,8 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False, hashes: boo
             with np.errstate(over="ignore"):
                 sums = np.zeros(b - a + 1, _U)
                 np.cumsum(table[part] * up[: b - a], out=sums[1:])
-                out.append(mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(_U)))
+                stop = e if head is None else np.minimum(e, s + head)
+                out.append(mix64((sums[stop] - sums[s]) * down[s] + (stop - s).astype(_U)))
         starts.append(s + a)
         ends.append(e + a)
     s = np.concatenate(starts) if starts else np.zeros(0, np.int64)
