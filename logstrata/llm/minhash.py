@@ -167,3 +167,11 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, halves: int = HALVES, rows:
     out = signed.join(of_class, ["s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One document of each group, with its own columns: the one of least id, each distinct text of it once."""
+    kept = materialize(groups(docs).where("kept").select("doc_id").distinct(), "kept")
+    named = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
+    chosen = named.join(kept, F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi")
+    return chosen.dropDuplicates(["_id", "_text"]).select("_doc.*")
