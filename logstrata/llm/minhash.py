@@ -7,12 +7,10 @@ joins a half-key of the one with a half-key of the other, so HALVES**2 tables co
 need. With 8 halves of 2 a pair at similarity 0.75 shares no table once in 370,
 at 0.8 once in 1 800, at 0.9 never in practice.
 
-Equal sets are one class throughout. In each table key the least class leads;
-every other member is verified against its leader on the full sets. Members that
-the leaders leave in different components are then compared with one another,
-``LEADERS`` further leaders a key and round, until every pair of classes that
-share a key is linked, in one component, or refuted. Nothing is capped, and a key
-with n members costs n rows a leader, never n squared at a time.
+Equal sets are one class throughout. Classes that share a table key are verified
+on their full sets, by leaders (see ``leaders``): every pair that shares a key ends
+up in one component or refuted. Nothing is capped, and a key with n members costs
+n rows a leader, never n squared at a time.
 
 Defined results: a text without words has the empty set, linked with nothing; a
 shorter text than a shingle is one shingle; rows that share a doc_id are one
@@ -27,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .leaders import joined_components
 from .store import forget, materialize
 from .textkit import batches, mix64, seeds, texts, word_sets, words
 
-SHINGLE, HALVES, ROWS, PERCENT, LEADERS = 5, 8, 2, 75, 32
+SHINGLE, HALVES, ROWS, PERCENT = 5, 8, 2, 75
 _U = np.uint64
 _SIGNS = "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>"
 
@@ -107,7 +105,7 @@ def _verified(pairs: DataFrame, shown: DataFrame, shingle: int, percent: int) ->
     return checked.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, halves: int = HALVES, rows: int = ROWS, percent: int = PERCENT, leaders: int = LEADERS) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = SHINGLE, halves: int = HALVES, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     signed = materialize(signatures(docs, shingle, halves, rows), "signatures")
     named = signed.where("n_shingles > 0 and doc_id is not null")
@@ -125,40 +123,17 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, halves: int = HALVES, rows:
     def fitting(pairs: DataFrame) -> DataFrame:
         """Sets of which the one is under ``percent`` of the other can't be alike enough."""
         with_a = pairs.join(sizes, "a")
-        return with_a.where((F.col("n") * 100 >= F.col("least_a") * percent) & (F.col("most_a") * 100 >= F.col("n") * percent)).select("a", "b")
+        return with_a.where((F.col("n") * 100 >= F.col("least_a") * percent) & (F.col("most_a") * 100 >= F.col("n") * percent)).select("a", "b").distinct()
 
-    first = members.where("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b"), "n").distinct()
-    tested = materialize(fitting(first).distinct(), "pairs")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     shown = materialize(texts_of.join(wanted, "doc_id", "left_semi").distinct(), "texts")
-    checked = materialize(_verified(tested, shown, shingle, percent), "checked")
-    links = [checked.where("linked").select("a", "b")]
-    found = components(links[0])
-    done = 0
-    while True:
-        found = materialize(found, "components")
-        placed = members.join(found, members["rep"] == found["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-        mixed = materialize(mixed, "mixed")
-        most = mixed.agg(F.max("size")).first()[0] or 0
-        if most <= done + 1:
-            break
-        ranked = placed.join(mixed, "key").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("rep")) - 1)
-        ranked = materialize(ranked, "ranked")
-        lead = ranked.where((F.col("r") >= done) & (F.col("r") < done + leaders)).select("key", F.col("rep").alias("a"), F.col("component").alias("component_a"), F.col("r").alias("r_a"))
-        pairs = ranked.join(lead, "key").where("r_a < r and component_a <> component").select("a", F.col("rep").alias("b"), "n").distinct()
-        fresh = materialize(fitting(pairs).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(fresh)
-        again = materialize(_verified(fresh, shown, shingle, percent), "checked")
-        new = again.where("linked").select("a", "b")
-        if not new.isEmpty():
-            links.append(new)
-            union = links[0]
-            for more in links[1:]:
-                union = union.union(more)
-            found = components(union)
-        done += leaders
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs, shown, shingle, percent).where("linked").select("a", "b")
+
+    found = joined_components(members.select("key", F.col("rep").alias("id"), "n", "leader"), fitting, verify)
+    found = materialize(found, "components")
     forget(members, shown)
     # Classes of all rows; the class of a third of them is split by the join.
     of_class = classes.select("s1", "s2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
