@@ -4,12 +4,14 @@ Documents become token ids closed by an end id; only documents longer than a
 sequence are cut. Pieces are dealt evenly to groups of bounded size, and each
 group is packed best-fit decreasing. Dual feasible functions of the group's
 length histogram bound its number of sequences from below; a group that meets its
-bound is certified and final. Groups with a gap give up the pieces of sequences
-that are not full; these are dealt anew, over fewer groups, and packed again, and
-the new packing is kept when it needs fewer sequences. Rounds end when nothing
-has a gap or a round no longer gains.
+bound is certified. Groups with a gap (even the part of a sequence that rounding up
+a bound would hide) give up the pieces of all sequences that are not full. These
+are dealt anew, over fewer groups, and packed again, and the new packing is kept
+when it needs fewer sequences; then certified groups with room join in. Rounds end
+when the whole meets the bound of the whole histogram, or no longer gain.
 
-A group holds at most about ``GROUP`` pieces in one task; no round gathers more.
+A task packs about ``GROUP`` pieces, in later rounds up to ``WIDEST`` times as many;
+none gathers more, however many documents there are.
 
 Defined results: a null or empty text is the end id alone (length 1); repeated
 rows are packed one by one; extra columns are ignored; an empty table gives no
@@ -18,38 +20,42 @@ rows. A sequence is ``capacity`` tokens; offsets within it are gapless from 0.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import forget, materialize
+from .store import materialize
 from .textkit import batches
 from .tokens import encoder
 
 CAPACITY, GROUP, ROUNDS = 2048, 16384, 8
+#: How many times GROUP pieces a group of a later round may hold.
+WIDEST = 8
 
 
-def lower_bound(counts: np.ndarray, capacity: int) -> int:
-    """Sequences that pieces need at least; counts[x] pieces have length x."""
+def lower_bound(counts: np.ndarray, capacity: int) -> Fraction:
+    """Sequences that pieces need at least, before rounding up; counts[x] pieces have length x."""
     size = np.arange(len(counts), dtype=np.int64)
     counts = counts.astype(np.int64)
-    best = -(-int((counts * size).sum()) // capacity)
+    best = Fraction(int((counts * size).sum()), capacity)
     above = np.concatenate([np.cumsum(counts[::-1])[::-1], [0]])
-    mass = np.concatenate([np.cumsum(counts * size), [0]])
+    mass = np.concatenate([[0], np.cumsum(counts * size)])
     for k in range(1, capacity // 2 + 1):
         # Lengths over capacity - k count as a sequence, under k as nothing.
-        large, middle = int(above[min(capacity - k + 1, len(counts))]), int(mass[min(capacity - k, len(counts) - 1)] - mass[k - 1])
-        best = max(best, large + -(-middle // capacity))
+        large, middle = int(above[min(capacity - k + 1, len(counts))]), int(mass[min(capacity - k + 1, len(counts))] - mass[k])
+        if large * capacity + middle > best * capacity:
+            best = Fraction(large * capacity + middle, capacity)
     for k in range(1, 21):
         # Rounded multiples: floor((k + 1) x / capacity) / k, or x / capacity where the multiple is whole.
         scaled = (k + 1) * size
-        whole = scaled % capacity == 0
-        value = np.where(whole, scaled * k, (scaled // capacity) * capacity * (k + 1))
-        best = max(best, -(-int((counts * value).sum()) // (capacity * k * (k + 1))))
+        value = np.where(scaled % capacity == 0, scaled * k, (scaled // capacity) * capacity * (k + 1))
+        best = max(best, Fraction(int((counts * value).sum()), capacity * k * (k + 1)))
     return best
 
 
@@ -104,7 +110,7 @@ _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequ
 
 
 def _pack_groups(rows: DataFrame, groups: int, capacity: int, attempt: int) -> DataFrame:
-    """Pack each group; ``_gap`` marks groups that need more sequences than their bound."""
+    """Pack each group; ``_gap`` marks groups over their bound."""
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         size = table.column("length").to_numpy()
@@ -134,24 +140,34 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
 
 def pack_pieces(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
     """``pack`` for pieces that have been cut (with a unique ``_row``)."""
-    total = cut.count()
+    # The histogram has at most ``capacity`` rows; it bounds the whole as each group's bounds the group.
+    histogram = np.zeros(capacity + 1, np.int64)
+    for row in cut.groupBy("length").agg(F.count("*").alias("n")).collect():
+        histogram[row["length"]] = row["n"]
+    total, bound = int(histogram.sum()), math.ceil(lower_bound(histogram, capacity))
     current = materialize(_pack_groups(cut, max(1, -(-total // group)), capacity, 0), "packed")
-    final: list[DataFrame] = []
-    loose = (F.col("_gap")) & (F.col("_fill") < capacity)
+    used = current.agg(F.count_distinct("sequence_id")).first()[0]
+    # First the groups over their own bounds exchange; then all that have room, since one group's room may fit another's pieces.
+    wide, failures = False, 0
     for attempt in range(1, rounds + 1):
-        count, before = current.where(loose).agg(F.count("*"), F.count_distinct("sequence_id")).first()
-        groups = max(1, -(-count // group))
-        if count == 0:
-            break
-        again = current.where(loose).select(*_COLUMNS, F.monotonically_increasing_id().alias("_row"))
-        packed = materialize(_pack_groups(materialize(again, "loose"), groups, capacity, attempt), "packed")
-        after = packed.agg(F.count_distinct("sequence_id")).first()[0]
-        if after >= before:
-            forget(packed)
+        if used <= bound:
             break
-        final.append(current.where(~loose))
-        current = packed
-    out = current
-    for part in final:
-        out = out.unionByName(part)
-    return out.select(*_COLUMNS, "sequence_id", "offset")
+        loose = (F.col("_fill") < capacity) & (F.lit(wide) | F.col("_gap"))
+        count, before = current.where(loose).agg(F.count("*"), F.count_distinct("sequence_id")).first()
+        # Later rounds pack larger groups, up to a bound: fewer partitions, fewer gaps.
+        groups = max(1, -(-count // (group * min(1 << attempt, WIDEST))))
+        after = before
+        if count:
+            again = current.where(loose).select(*_COLUMNS, F.monotonically_increasing_id().alias("_row"))
+            packed = materialize(_pack_groups(materialize(again, "loose"), groups, capacity, attempt), "packed")
+            after = packed.agg(F.count_distinct("sequence_id")).first()[0]
+        if after < before:
+            used -= before - after
+            rest = current.where(~loose)
+            current = materialize(packed.unionByName(rest), "packed")
+        elif wide:
+            failures += 1
+            if failures > 1 or groups == 1:
+                break
+        wide = wide or attempt > 1 or after >= before
+    return current.select(*_COLUMNS, "sequence_id", "offset")
