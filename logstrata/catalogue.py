@@ -58,7 +58,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as one record of many lines."""
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.lit(1).cast("long").alias("start_line"), F.size(F.split("text", "\n", -1)).cast("long").alias("end_line"), "text", F.lit(None).cast("timestamp_ntz").alias("ts"), segment.NO_FIELDS.alias("fields"), "source", "lang")
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.lit(1).cast("long").alias("start_line"), F.size(F.split("text", "\n", -1)).cast("long").alias("end_line"), "text", F.lit(None).cast("timestamp_ntz").alias("ts"), segment.no_fields().alias("fields"), "source", "lang")
 
 
 TERMS = ("token", "License", "idiot", "the", "with", "worthless")

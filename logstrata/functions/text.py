@@ -99,7 +99,7 @@ def search_text(category: Column, name: Column, label: Column, text: Column) ->
 
 def label(text: Column, chars: int = 240) -> Column:
     """The first line that is not blank, shortened."""
-    lines = F.filter(F.transform(F.split(text, LINE_BREAK, -1), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, LINE_BREAK, -1), lambda x: F.trim(x)), lambda x: x != "")
     return F.substring(F.get(lines, 0), 1, chars)
 
 

@@ -60,7 +60,8 @@ def java_pattern(layout: str) -> str:
         if part.startswith("%"):
             if part not in _DIRECTIVES:
                 raise TimeError(f"no pattern for {part}")
-            out.append(_DIRECTIVES[part])
+            # Beside a month's name days have one digit or two.
+            out.append("d" if part == "%d" and "%b" in layout else _DIRECTIVES[part])
         else:
             out.append(f"'{part}'" if part[0].isalpha() else part)
     return "".join(out).replace(".SSSSSS", "[.SSSSSS]").replace(",SSSSSS", "[,SSSSSS]")

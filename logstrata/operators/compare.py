@@ -39,6 +39,11 @@ def ordered_union(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def verify_files(listed: DataFrame, actual: DataFrame) -> DataFrame:
     """Manifest entries (path, size, sha256) against files: ok, modified or missing."""
-    found = actual.select("path", F.col("size").alias("_size"), F.col("sha256").alias("_sha"))
+    found = actual.select(_plain_path(F.col("path")).alias("_path"), F.col("size").alias("_size"), F.col("sha256").alias("_sha"))
     state = F.when(F.col("_sha").isNull(), "missing").when((F.col("_sha") == F.col("sha256")) & (F.col("_size") == F.col("size")), "ok").otherwise("modified")
-    return listed.join(found, "path", "left").select(*listed.columns, state.alias("state"))
+    return listed.join(found, _plain_path(F.col("path")) == F.col("_path"), "left").select(*listed.columns, state.alias("state"))
+
+
+def _plain_path(path: Column) -> Column:
+    """Local paths are written with one slash or three after the scheme."""
+    return F.regexp_replace(path, "^file:/+", "/")

@@ -15,6 +15,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from logstrata.functions import times
 from logstrata.functions.patterns import check, group_names, java_group, to_java
@@ -25,9 +26,14 @@ LEVEL_KEYS = ("level", "lvl", "severity")
 MESSAGE_KEYS = ("msg", "message", "content", "text")
 MESSAGE_CHARS, DETECT_LINES, DETECT_SHARE = 200, 200, 0.5
 JSON_LAYOUTS = ("%Y-%m-%dT%H:%M:%S.%f%z", "%Y-%m-%d %H:%M:%S.%f%z", "%Y-%m-%d %H:%M:%S%z", "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S")
-NO_FIELDS = F.lit(None).cast("map<string,string>")
 
-_IN_FILE = Window.partitionBy("source_id").orderBy("line_no")
+
+def no_fields() -> Column:
+    return F.lit(None).cast("map<string,string>")
+
+
+def _in_file() -> WindowSpec:
+    return Window.partitionBy("source_id").orderBy("line_no")
 
 
 def _number(records: DataFrame) -> DataFrame:
@@ -35,8 +41,8 @@ def _number(records: DataFrame) -> DataFrame:
     return records.select("source_id", F.row_number().over(window).cast("long").alias("rec_no"), "start_line", "end_line", "text", "ts", "fields")
 
 
-def _plain(text: Column = F.col("line")) -> list[Column]:
-    return [F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), text.alias("text"), F.lit(None).cast("timestamp_ntz").alias("ts"), NO_FIELDS.alias("fields")]
+def _plain() -> list[Column]:
+    return [F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.col("line").alias("text"), F.lit(None).cast("timestamp_ntz").alias("ts"), no_fields().alias("fields")]
 
 
 def by_line(lines: DataFrame) -> DataFrame:
@@ -48,13 +54,13 @@ def _grouped(lines: DataFrame, group: str) -> DataFrame:
     """Lines of a group as one text, in order."""
     parts = F.sort_array(F.collect_list(F.struct("line_no", "line")))
     grouped = lines.groupBy("source_id", group).agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("text"))
-    return grouped.withColumns({"ts": F.lit(None).cast("timestamp_ntz"), "fields": NO_FIELDS})
+    return grouped.withColumns({"ts": F.lit(None).cast("timestamp_ntz"), "fields": no_fields()})
 
 
 def by_paragraph(lines: DataFrame) -> DataFrame:
     """Blank lines separate records and belong to none."""
     blank = F.trim(F.regexp_replace("line", r"\s", " ")) == ""
-    marked = lines.withColumn("_group", F.sum(blank.cast("int")).over(_IN_FILE)).where(~blank)
+    marked = lines.withColumn("_group", F.sum(blank.cast("int")).over(_in_file())).where(~blank)
     return _number(_grouped(marked, "_group"))
 
 
@@ -72,7 +78,7 @@ def _anchored(pattern: str, ignore_case: bool = False) -> str:
 def by_separator(lines: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
     """A line whose start matches begins a record; lines before the first form one of their own."""
     begins = F.col("line").rlike(_anchored(pattern, ignore_case))
-    return _number(_grouped(lines.withColumn("_group", F.sum(begins.cast("int")).over(_IN_FILE)), "_group"))
+    return _number(_grouped(lines.withColumn("_group", F.sum(begins.cast("int")).over(_in_file())), "_group"))
 
 
 def by_json(lines: DataFrame, time_field: str | None = None, level_field: str | None = None, message_field: str | None = None) -> DataFrame:
@@ -90,17 +96,15 @@ def by_json(lines: DataFrame, time_field: str | None = None, level_field: str |
         value, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
         for key in reversed(keys):
             raw = F.try_variant_get(F.try_parse_json(body), _path(key), "string")
-            schema = F.schema_of_variant(F.try_parse_json(body))
             value = F.when(F.array_contains(present, key), raw).otherwise(value)
             kind = F.when(F.array_contains(present, key), F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), _path(key), "variant"))).otherwise(kind)
-            del schema
         return value, kind
 
     when, kind = first((time_field,) if time_field else TIME_KEYS)
     level, _ = first((level_field,) if level_field else LEVEL_KEYS)
     message, _ = first((message_field,) if message_field else MESSAGE_KEYS)
     numeric = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
-    ts = F.when(kind == "STRING", F.coalesce(times.iso(when), times.parse(when, JSON_LAYOUTS))).when(numeric, times.epoch(F.expr("try_cast(null as double)") if when is None else when.try_cast("double")))
+    ts = F.when(kind == "STRING", F.coalesce(times.iso(when), times.parse(when, JSON_LAYOUTS))).when(numeric, times.epoch(when.try_cast("double")))
     bad_time = when.isNotNull() & ts.isNull()
     parts = F.map_from_entries(
         F.array_compact(
@@ -153,7 +157,7 @@ def by_format(lines: DataFrame, layout: Format) -> DataFrame:
     if layout.unclosed_start:
         marked = lines.withColumn("_begins", begins).groupBy("source_id").applyInPandas(lambda frame: _continued(frame, layout.max_lines), "source_id string, line_no long, line string, _begins boolean, _group long")
     elif layout.multiline:
-        marked = lines.withColumns({"_begins": begins, "_group": F.sum(begins.cast("long")).over(_IN_FILE)})
+        marked = lines.withColumns({"_begins": begins, "_group": F.sum(begins.cast("long")).over(_in_file())})
     else:
         marked = lines.withColumns({"_begins": begins, "_group": F.col("line_no")})
     grouped = _grouped(marked, "_group")
@@ -165,7 +169,7 @@ def by_format(lines: DataFrame, layout: Format) -> DataFrame:
         value = F.regexp_extract(first, start, _group_index(layout.start, name))
         entries.append(F.struct(F.lit(name).alias("k"), value.alias("v")))
     others = [e for e, n in zip(entries, names, strict=True) if n != "ts"]
-    fields = F.when(hit, F.map_from_entries(F.array(*others))) if others else NO_FIELDS
+    fields = F.when(hit, F.map_from_entries(F.array(*others))) if others else no_fields()
     ts = F.lit(None).cast("timestamp_ntz")
     if "ts" in names and layout.layouts:
         ts = F.when(hit, times.parse(F.regexp_extract(first, start, _group_index(layout.start, "ts")), layout.layouts))
