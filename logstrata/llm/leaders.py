@@ -1,64 +1,104 @@
-"""Components of similarity links among members of hot keys, without all pairs.
+"""Components of similarity links among members of hot keys, without emitting all pairs.
 
 Members that share a key are candidates for each other. First the least member
-of a key leads: every other is verified against it, n rows for n members. The
-links found give components. In a key whose members these leave in several
-components, the members outside its largest one then lead in turn, at most
-``LEADERS`` a key and round, against all members of other components. When all of
-them have led, every pair of members that share a key is in one component or has
-been verified; so no link is lost that would join components, and a large group
-of copies, which is one component after the first step, costs no more than that.
+of a key leads: every other is compared with it, n rows for n members. The links
+found give components. In a key whose members these leave in several components,
+the members outside its largest one are then compared with all members of other
+components; that happens within a task, block by block, and only pairs that pass
+come out. Afterwards every pair of members that share a key is in one component
+or has been compared; so no link that would join components is lost, and a large
+group of copies, which is one component after the first step, costs no more.
+
+A task holds two blocks of at most about ``BLOCK`` members, however many share a key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 from .store import forget, materialize
 
-LEADERS = 32
+BLOCK = 2048
+#: near(left, right): which payloads of ``left`` (rows) and ``right`` (columns) may be, or are, alike.
+Near = Callable[[list[bytes], list[bytes]], np.ndarray]
+
+
+def _with(pairs: DataFrame, payloads: DataFrame, name: str) -> DataFrame:
+    return pairs.join(payloads.select(F.col("id").alias(name), F.col("payload").alias(f"payload_{name}")), name)
+
+
+def _paired(pairs: DataFrame, payloads: DataFrame, near: Near) -> DataFrame:
+    """The pairs (a, b) whose payloads pass."""
+
+    def keep(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                good = [bool(near([x], [y])[0, 0]) for x, y in zip(part.column("payload_a").to_pylist(), part.column("payload_b").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    full = _with(_with(pairs, payloads, "b"), payloads, "a")
+    return full.select("a", "b", "payload_a", "payload_b").mapInArrow(keep, "a long, b long")
 
 
-def joined_components(members: DataFrame, fitting: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], leaders: int = LEADERS) -> DataFrame:
+def _across(mixed: DataFrame, near: Near) -> DataFrame:
+    """Pairs that pass, of ``mixed`` (key, id, component, outside, payload): a member outside with any of another component."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table.column("left").to_numpy(zero_copy_only=False)
+        ids, part = table.column("id").to_numpy(), table.column("component").to_numpy()
+        outside = table.column("outside").to_numpy(zero_copy_only=False)
+        payload = table.column("payload").to_pylist()
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        a, b = [], []
+        for start in range(0, len(left), 64):
+            some = left[start : start + 64]
+            # Two members outside meet twice; the lesser id takes the pair.
+            wanted = (part[some][:, None] != part[right]) & (~outside[right] | (ids[some][:, None] < ids[right]))
+            if wanted.any():
+                columns = np.flatnonzero(wanted.any(axis=0))
+                x, y = np.nonzero(near([payload[i] for i in some], [payload[i] for i in right[columns]]) & wanted[:, columns])
+                a.append(ids[some[x]])
+                b.append(ids[right[columns[y]]])
+        u, v = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
+        return pa.table({"a": np.minimum(u, v), "b": np.maximum(u, v)})
+
+    sizes = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rights"), F.ceil(F.count_if("outside") / BLOCK).cast("int").alias("lefts"))
+    placed = mixed.join(sizes, "key").withColumn("own", F.xxhash64(F.lit(9), "id"))
+    rights = placed.select("key", F.pmod("own", F.col("rights")).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.lit(False).alias("left"), "id", "component", "outside", "payload")
+    lefts = placed.where("outside").select("key", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), F.pmod("own", F.col("lefts")).cast("int").alias("i"), F.lit(True).alias("left"), "id", "component", "outside", "payload")
+    both = rights.select("key", "i", "j", "left", "id", "component", "outside", "payload").union(lefts.select("key", "i", "j", "left", "id", "component", "outside", "payload"))
+    return both.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def joined_components(members: DataFrame, payloads: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of all members that have links.
 
-    ``members``: (key, id, n, leader), of keys with several members; ``fitting``
-    drops pairs (a, b, n of b) that can't be alike; ``verify`` keeps the links.
+    ``members``: (key, id, leader), of keys with several members; ``payloads``:
+    (id, payload) of those; ``verify`` confirms what ``near`` lets through, if that
+    is not exact itself.
     """
-    first = members.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b"), "n").distinct()
-    tested = materialize(fitting(first), "pairs")
-    links = materialize(verify(tested), "links")
+    confirmed = verify or (lambda pairs: pairs)
+    first = members.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    tested = materialize(_paired(first, payloads, near), "pairs")
+    links = materialize(confirmed(tested), "links")
     found = materialize(components(links), "components")
-
-    def placed(rows: DataFrame) -> DataFrame:
-        return rows.join(found, rows["id"] == found["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")
-
-    parts = placed(members).groupBy("key", "component").agg(F.count("*").alias("size"))
-    parts = materialize(parts, "key-parts")
-    spread = parts.groupBy("key").agg(F.max("size").alias("largest"), F.sum("size").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = materialize(spread.select("key", (F.col("all") - F.col("largest")).alias("outside")), "mixed")
-    rounds = mixed.agg(F.max("outside")).first()[0] or 0
-    if not rounds:
+    placed = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
+    # The largest component of a key, of those with several.
+    spread = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("most")).where("parts > 1")
+    mixed = materialize(spread.select("key", F.col("most.component").alias("largest")), "mixed")
+    if mixed.isEmpty():
         return found
-    # The order is settled once: members of small components first, the largest component last.
-    ranked = placed(members.join(mixed, "key")).join(parts, ["key", "component"])
-    order = Window.partitionBy("key").orderBy("size", "component", "id")
-    ranked = materialize(ranked.select("key", "id", "n", "outside", (F.row_number().over(order) - 1).alias("r")), "ranked")
-    for done in range(0, rounds, leaders):
-        here = placed(ranked)
-        lead = here.where((F.col("r") >= done) & (F.col("r") < done + leaders) & (F.col("r") < F.col("outside"))).select("key", F.col("id").alias("a"), F.col("component").alias("of_a"), F.col("r").alias("r_a"))
-        pairs = here.join(lead, "key").where("r_a < r and of_a <> component").select("a", F.col("id").alias("b"), "n").distinct()
-        fresh = materialize(fitting(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            continue
-        tested = tested.union(fresh)
-        new = materialize(verify(fresh), "links")
-        if not new.isEmpty():
-            links = links.union(new)
-            found = materialize(components(links), "components")
-    forget(ranked)
-    return found
+    rows = placed.join(mixed, "key").select("key", "id", "component", (F.col("component") != F.col("largest")).alias("outside"))
+    rows = materialize(rows.join(payloads, "id"), "mixed-members")
+    fresh = materialize(_across(rows, near).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    new = materialize(confirmed(fresh), "links")
+    forget(rows)
+    return found if new.isEmpty() else components(links.union(new))

@@ -7,14 +7,14 @@ joins a half-key of the one with a half-key of the other, so HALVES**2 tables co
 need. With 8 halves of 2 a pair at similarity 0.75 shares no table once in 370,
 at 0.8 once in 1 800, at 0.9 never in practice.
 
-Equal sets are one class throughout. Classes that share a table key are verified
-on their full sets, by leaders (see ``leaders``): every pair that shares a key ends
-up in one component or refuted. Nothing is capped, and a key with n members costs
-n rows a leader, never n squared at a time.
+Equal sets are one class throughout. Classes that share a table key are compared by
+leaders (see ``leaders``), first by a one-permutation sketch whose estimate must not
+lie five standard deviations under the threshold, then on their full sets. Every
+pair that shares a key ends up in one component or refuted; nothing is capped.
 
 Defined results: a text without words has the empty set, linked with nothing; a
-shorter text than a shingle is one shingle; rows that share a doc_id are one
-document (linked if any of its texts is); a null doc_id is linked with nothing,
+shorter text than a shingle is one shingle; rows that share a doc_id but not a
+text are grouped by their own texts; a null doc_id is linked with nothing,
 its component_id is null and it is kept; extra columns are ignored; an empty
 table gives no rows.
 """
@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .leaders import joined_components
+from .leaders import Near, joined_components
 from .store import forget, materialize
 from .textkit import batches, mix64, seeds, texts, word_sets, words
 
 SHINGLE, HALVES, ROWS, PERCENT = 5, 8, 2, 75
+#: Bins of the one-permutation sketch that candidates are compared by before their texts are.
+BINS = 256
 _U = np.uint64
-_SIGNS = "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>"
+_SIGNS = "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>, sketch binary"
 
 
 def _sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
@@ -43,6 +45,19 @@ def _sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
     return word_sets(h, first, shingle)
 
 
+def _identities(sets: list[np.ndarray]) -> np.ndarray:
+    """(2, sets): two 64-bit sums over each set; 0 for an empty one."""
+    out = np.zeros((2, len(sets)), np.int64)
+    some = [i for i, x in enumerate(sets) if len(x)]
+    if some:
+        own = [sets[i] for i in some]
+        flat, first = np.concatenate(own), np.cumsum([0, *map(len, own)])[:-1]
+        with np.errstate(over="ignore"):
+            for k in range(2):
+                out[k, some] = np.add.reduceat(mix64(flat + seeds(2, 41)[k]), first).view(np.int64)
+    return out
+
+
 def half_keys(sets: list[np.ndarray], halves: int, rows: int) -> np.ndarray:
     """(sets, 2 * halves) signed half-keys; sets must not be empty."""
     flat = np.concatenate(sets)
@@ -59,6 +74,33 @@ def half_keys(sets: list[np.ndarray], halves: int, rows: int) -> np.ndarray:
     return out.T.view(np.int64)
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, BINS): every shingle falls into a bin; a byte of the least one of each bin, 0 for an empty bin."""
+    h = mix64(np.concatenate(sets) + seeds(1, 51)[0])
+    at = np.repeat(np.arange(len(sets)) * BINS, [len(x) for x in sets]) + (h >> _U(56)).astype(np.int64)
+    least = np.full(len(sets) * BINS, np.iinfo(np.uint64).max, _U)
+    np.minimum.at(least, at, h & _U((1 << 56) - 1))
+    out = np.where(least == np.iinfo(np.uint64).max, _U(0), least % _U(255) + _U(1))
+    return out.astype(np.uint8).reshape(-1, BINS)
+
+
+def maybe_alike(percent: int) -> Near:
+    """Sketches whose estimate is no more than five standard deviations under ``percent``: one true link in 3 million is lost."""
+    share = percent / 100
+
+    def near(left: list[bytes], right: list[bytes]) -> np.ndarray:
+        y = np.frombuffer(b"".join(right), np.uint8).reshape(len(right), BINS)
+        out = np.empty((len(left), len(right)), bool)
+        for i, blob in enumerate(left):
+            x = np.frombuffer(blob, np.uint8)
+            used = np.maximum(((x | y) > 0).sum(axis=1), 1)
+            equal = ((x == y) & (x > 0)).sum(axis=1)
+            out[i] = equal / used >= share - 5 * np.sqrt(share * (1 - share) / used)
+        return out
+
+    return near
+
+
 def signatures(docs: DataFrame, shingle: int = SHINGLE, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """Set sizes, set identities and half-keys of all documents."""
 
@@ -69,16 +111,15 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, halves: int = HALVES, ro
             some = np.flatnonzero(size)
             keys = np.zeros((len(sets), 2 * halves), np.int64)
             identity = np.zeros((2, len(sets)), np.int64)
+            shown = np.zeros((len(sets), BINS), np.uint8)
             if len(some):
                 own = [sets[i] for i in some]
                 keys[some] = half_keys(own, halves, rows)
-                flat, first = np.concatenate(own), np.cumsum([0, *map(len, own)])[:-1]
-                with np.errstate(over="ignore"):
-                    for k in range(2):
-                        identity[k, some] = np.add.reduceat(mix64(flat + seeds(2, 41)[k]), first).view(np.int64)
+                shown[some] = sketches(own)
+                identity[:, some] = _identities(own)
             edge = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * halves)
             lists = [pa.ListArray.from_arrays(edge, pa.array(np.ascontiguousarray(part).reshape(-1))) for part in (keys[:, :halves], keys[:, halves:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(identity[0]), pa.array(identity[1]), *lists], ["doc_id", "n_shingles", "s1", "s2", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(identity[0]), pa.array(identity[1]), *lists, pa.array([r.tobytes() for r in shown], pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "a", "b", "sketch"])
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows_in.mapInArrow(sign, _SIGNS)
@@ -99,8 +140,8 @@ def _verified(pairs: DataFrame, shown: DataFrame, shingle: int, percent: int) ->
                 linked.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    first = pairs.join(shown.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    full = first.join(shown.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    first = pairs.join(shown.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    full = first.join(shown.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     checked = full.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, linked boolean")
     return checked.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
@@ -109,36 +150,43 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, halves: int = HALVES, rows:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     signed = materialize(signatures(docs, shingle, halves, rows), "signatures")
     named = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    classes = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("sketch").alias("sketch"))
+    # A document id with several texts has several classes; they are told apart by a number of their own.
+    classes = materialize(classes.withColumn("id", F.xxhash64("s1", "s2")), "classes")
     keys = (
-        classes.select("rep", "n", F.posexplode("a").alias("i", "x"), "b")
-        .select("rep", "n", "i", "x", F.posexplode("b").alias("j", "y"))
-        .select(F.xxhash64("i", "j", "x", "y").alias("key"), "rep", "n")
+        classes.select("id", F.posexplode("a").alias("i", "x"), "b")
+        .select("id", "i", "x", F.posexplode("b").alias("j", "y"))
+        .select(F.xxhash64("i", "j", "x", "y").alias("key"), "id")
     )
-    led = materialize(keys.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader"), "tables")
+    led = materialize(keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader"), "tables")
     # Only keys with several classes; a hot key's side is split by the join.
     members = materialize(keys.join(led, "key"), "members")
-    sizes = classes.groupBy(F.col("rep").alias("a")).agg(F.min("n").alias("least_a"), F.max("n").alias("most_a"))
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        """Sets of which the one is under ``percent`` of the other can't be alike enough."""
-        with_a = pairs.join(sizes, "a")
-        return with_a.where((F.col("n") * 100 >= F.col("least_a") * percent) & (F.col("most_a") * 100 >= F.col("n") * percent)).select("a", "b").distinct()
-
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    shown = materialize(texts_of.join(wanted, "doc_id", "left_semi").distinct(), "texts")
+    wanted = members.select("id").distinct()
+    payloads = materialize(classes.select("id", F.col("sketch").alias("payload")).join(wanted, "id", "left_semi"), "sketches")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        """Full sets, from the texts of one document of each class."""
+        chosen = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "rep", "s1", "s2"), "id")
+        texts_of = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text")).where("text is not null")
+        shown = texts_of.join(chosen.select("rep").distinct(), "rep", "left_semi").distinct()
+        shown = materialize(shown.join(chosen, "rep").select("id", "s1", "s2", "text").mapInArrow(own_text, "id long, text string").distinct(), "texts")
         return _verified(pairs, shown, shingle, percent).where("linked").select("a", "b")
 
-    found = joined_components(members.select("key", F.col("rep").alias("id"), "n", "leader"), fitting, verify)
+    def own_text(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the texts that share a document id, those of the class."""
+        for batch in batches(frames, "text", 1 << 20):
+            ours = _identities(_sets(batch.column("text"), shingle))
+            good = (ours[0] == batch.column("s1").to_numpy()) & (ours[1] == batch.column("s2").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text")], ["id", "text"]).filter(pa.array(good))
+
+    found = joined_components(members.select("key", "id", "leader"), payloads, maybe_alike(percent), verify)
     found = materialize(found, "components")
-    forget(members, shown)
-    # Classes of all rows; the class of a third of them is split by the join.
-    of_class = classes.select("s1", "s2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    # A document with several texts belongs with the least of their classes' components.
-    of_class = materialize(of_class, "class-components")
+    forget(members, payloads)
+    # The least document id of each component; the component of a third of the classes is split by the joins.
+    placed = classes.select("id", "s1", "s2", "rep").join(found, F.col("id") == F.col("node"), "left").select("id", "s1", "s2", "rep", F.coalesce("component", "id").alias("part"))
+    placed = materialize(placed, "placed")
+    least = materialize(placed.groupBy("part").agg(F.min("rep").alias("component_id")), "least-ids")
+    of_class = materialize(placed.join(least, "part").select("s1", "s2", "component_id"), "class-components")
     out = signed.join(of_class, ["s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
