@@ -54,7 +54,7 @@ def unmatched_samples(scoped: DataFrame, order: Column, top_token: str | None) -
     frequent = F.col("_has") & (F.col("_rank") <= SAMPLES_OF_A_KIND)
     marked = placed.withColumn("kind", F.when(frequent, "high_freq").otherwise("random"))
     by_hash = Window.partitionBy("kind").orderBy(F.when(F.col("kind") == "random", F.sha2("text", 256)), "_order")
-    return marked.withColumn("position", F.row_number().over(by_hash)).where(F.col("position") <= SAMPLES_OF_A_KIND).select("kind", "position", "text")
+    return marked.withColumn("position", F.row_number().over(by_hash).cast("long")).where(F.col("position") <= SAMPLES_OF_A_KIND).select("kind", "position", "text")
 
 
 def usage(hits: DataFrame, column: str, name: str) -> DataFrame:
@@ -98,7 +98,7 @@ def value_distribution(hits: DataFrame, order: Column, least: int = VALUE_MIN_CO
     each = keyed.join(often, "template", "left_semi").select("template", "_order", F.posexplode("_values").alias("_pos", "_value"))
     counted = each.groupBy("template", F.col("_value.tag").alias("tag"), F.col("_value.value").alias("value")).agg(F.count("*").alias("n"), F.min(F.struct("_order", "_pos")).alias("_first"))
     place = F.row_number().over(Window.partitionBy("template", "tag").orderBy(F.desc("n"), "_first"))
-    return counted.withColumn("position", place).where(F.col("position") <= limit).select("template", "tag", "position", "value", "n")
+    return counted.withColumn("position", place.cast("long")).where(F.col("position") <= limit).select("template", "tag", "position", "value", "n")
 
 
 def survey_templates(records: DataFrame, order: Column, limit: int = 20) -> DataFrame:
