@@ -25,8 +25,9 @@ from .graph import components
 from .store import forget, materialize
 
 BLOCK = 2048
-#: near(left, right): which payloads of ``left`` (rows) and ``right`` (columns) may be, or are, alike.
-Near = Callable[[list[bytes], list[bytes]], np.ndarray]
+#: near(left, right, key): which payloads of ``left`` (rows) and ``right`` (columns) may be, or are, alike.
+#: Given a key, it may leave out pairs that another key which they share will bring.
+Near = Callable[[list[bytes], list[bytes], int | None], np.ndarray]
 
 
 def _with(pairs: DataFrame, payloads: DataFrame, name: str) -> DataFrame:
@@ -40,7 +41,7 @@ def _paired(pairs: DataFrame, payloads: DataFrame, near: Near) -> DataFrame:
         for batch in frames:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
-                good = [bool(near([x], [y])[0, 0]) for x, y in zip(part.column("payload_a").to_pylist(), part.column("payload_b").to_pylist(), strict=True)]
+                good = [bool(near([x], [y], None)[0, 0]) for x, y in zip(part.column("payload_a").to_pylist(), part.column("payload_b").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     full = _with(_with(pairs, payloads, "b"), payloads, "a")
@@ -51,7 +52,7 @@ def _across(mixed: DataFrame, near: Near) -> DataFrame:
     """Pairs that pass, of ``mixed`` (key, id, component, outside, payload): a member outside with any of another component."""
 
     def compare(table: pa.Table) -> pa.Table:
-        side = table.column("left").to_numpy(zero_copy_only=False)
+        side, key = table.column("left").to_numpy(zero_copy_only=False), table.column("key")[0].as_py()
         ids, part = table.column("id").to_numpy(), table.column("component").to_numpy()
         outside = table.column("outside").to_numpy(zero_copy_only=False)
         payload = table.column("payload").to_pylist()
@@ -63,7 +64,7 @@ def _across(mixed: DataFrame, near: Near) -> DataFrame:
             wanted = (part[some][:, None] != part[right]) & (~outside[right] | (ids[some][:, None] < ids[right]))
             if wanted.any():
                 columns = np.flatnonzero(wanted.any(axis=0))
-                x, y = np.nonzero(near([payload[i] for i in some], [payload[i] for i in right[columns]]) & wanted[:, columns])
+                x, y = np.nonzero(near([payload[i] for i in some], [payload[i] for i in right[columns]], key) & wanted[:, columns])
                 a.append(ids[some[x]])
                 b.append(ids[right[columns[y]]])
         u, v = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))

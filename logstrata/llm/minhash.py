@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .leaders import Near, joined_components
@@ -34,7 +34,7 @@ from .textkit import batches, mix64, seeds, texts, word_sets, words
 
 SHINGLE, HALVES, ROWS, PERCENT = 5, 8, 2, 75
 #: Bins of the one-permutation sketch that candidates are compared by before their texts are.
-BINS = 256
+BINS = 512
 _U = np.uint64
 _SIGNS = "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>, sketch binary"
 
@@ -77,25 +77,40 @@ def half_keys(sets: list[np.ndarray], halves: int, rows: int) -> np.ndarray:
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, BINS): every shingle falls into a bin; a byte of the least one of each bin, 0 for an empty bin."""
     h = mix64(np.concatenate(sets) + seeds(1, 51)[0])
-    at = np.repeat(np.arange(len(sets)) * BINS, [len(x) for x in sets]) + (h >> _U(56)).astype(np.int64)
+    at = np.repeat(np.arange(len(sets)) * BINS, [len(x) for x in sets]) + (h >> _U(55)).astype(np.int64)
     least = np.full(len(sets) * BINS, np.iinfo(np.uint64).max, _U)
-    np.minimum.at(least, at, h & _U((1 << 56) - 1))
+    np.minimum.at(least, at, h & _U((1 << 55) - 1))
     out = np.where(least == np.iinfo(np.uint64).max, _U(0), least % _U(255) + _U(1))
     return out.astype(np.uint8).reshape(-1, BINS)
 
 
-def maybe_alike(percent: int) -> Near:
-    """Sketches whose estimate is no more than five standard deviations under ``percent``: one true link in 3 million is lost."""
-    share = percent / 100
+def table_key(table: Column, x: Column, y: Column, tables: int) -> Column:
+    """A key's remainder by the number of tables is the number of its table."""
+    h = F.shiftright(F.xxhash64(table, x, y), 1)
+    return h - F.pmod(h, F.lit(tables)) + table
 
-    def near(left: list[bytes], right: list[bytes]) -> np.ndarray:
-        y = np.frombuffer(b"".join(right), np.uint8).reshape(len(right), BINS)
+
+def maybe_alike(percent: int, halves: int) -> Near:
+    """Sketches whose estimate is no more than five standard deviations under ``percent``: one true link in 3 million is lost.
+
+    A payload is the half-keys and the sketch, so a pair that shares several
+    tables is told by the first of them alone.
+    """
+    share, head = percent / 100, 16 * halves
+
+    def near(left: list[bytes], right: list[bytes], key: int | None) -> np.ndarray:
+        y = np.stack([np.frombuffer(b, np.uint8, offset=head) for b in right])
+        other = np.stack([np.frombuffer(b, np.int64, count=2 * halves) for b in right])
         out = np.empty((len(left), len(right)), bool)
         for i, blob in enumerate(left):
-            x = np.frombuffer(blob, np.uint8)
+            x = np.frombuffer(blob, np.uint8, offset=head)
             used = np.maximum(((x | y) > 0).sum(axis=1), 1)
             equal = ((x == y) & (x > 0)).sum(axis=1)
             out[i] = equal / used >= share - 5 * np.sqrt(share * (1 - share) / used)
+            if key is not None:
+                same = np.frombuffer(blob, np.int64, count=2 * halves) == other
+                first = same[:, :halves].argmax(axis=1) * halves + same[:, halves:].argmax(axis=1)
+                out[i] &= first == key % (halves * halves)
         return out
 
     return near
@@ -119,7 +134,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, halves: int = HALVES, ro
                 identity[:, some] = _identities(own)
             edge = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * halves)
             lists = [pa.ListArray.from_arrays(edge, pa.array(np.ascontiguousarray(part).reshape(-1))) for part in (keys[:, :halves], keys[:, halves:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(identity[0]), pa.array(identity[1]), *lists, pa.array([r.tobytes() for r in shown], pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "a", "b", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(identity[0]), pa.array(identity[1]), *lists, pa.array([k.tobytes() + r.tobytes() for k, r in zip(keys, shown, strict=True)], pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "a", "b", "sketch"])
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows_in.mapInArrow(sign, _SIGNS)
@@ -156,7 +171,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, halves: int = HALVES, rows:
     keys = (
         classes.select("id", F.posexplode("a").alias("i", "x"), "b")
         .select("id", "i", "x", F.posexplode("b").alias("j", "y"))
-        .select(F.xxhash64("i", "j", "x", "y").alias("key"), "id")
+        .select(table_key(F.col("i") * halves + F.col("j"), F.col("x"), F.col("y"), halves * halves).alias("key"), "id")
     )
     led = materialize(keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader"), "tables")
     # Only keys with several classes; a hot key's side is split by the join.
@@ -179,7 +194,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, halves: int = HALVES, rows:
             good = (ours[0] == batch.column("s1").to_numpy()) & (ours[1] == batch.column("s2").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text")], ["id", "text"]).filter(pa.array(good))
 
-    found = joined_components(members.select("key", "id", "leader"), payloads, maybe_alike(percent), verify)
+    found = joined_components(members.select("key", "id", "leader"), payloads, maybe_alike(percent, halves), verify)
     found = materialize(found, "components")
     forget(members, payloads)
     # The least document id of each component; the component of a third of the classes is split by the joins.
