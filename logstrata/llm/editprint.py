@@ -8,7 +8,8 @@ walks. A fingerprint is a bit sample of the walk: 128 step positions, shared by
 all texts and chosen consistently for every walk length (the position of least
 hash in its class among the steps walked), each giving four hashed bits of the
 character emitted there. Likeness is the share of equal samples, corrected for
-chance. ``candidates`` bands the samples; ``near_pairs`` verifies them.
+chance. ``near_groups`` bands the samples: texts that agree in a whole band are
+candidates, verified by the likeness of all their samples.
 
 Defined results: null text is empty; an empty text has the fingerprint of zeros;
 equal texts have equal fingerprints; rows follow one another by descending
@@ -28,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .leaders import Near, joined_components
 from .store import materialize, width
 from .textkit import mix64
 
@@ -197,3 +199,43 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     heads = edges.where("_edge = 'head'").select("_pid", F.col("_id").alias("b"), F.col("_text").alias("y"))
     joins = tails.join(heads, "_pid").select("a", "x", "b", "y").mapInArrow(_across, _RESULT)
     return done.where("_edge is null").select(*_NAMES).unionByName(joins)
+
+
+def alike(least: float) -> Near:
+    """Fingerprints whose likeness is at least ``least``."""
+    equal = (1 / 16 + least * 15 / 16) * SAMPLES
+
+    def near(left: list[bytes], right: list[bytes], key: int | None) -> np.ndarray:
+        y = np.frombuffer(b"".join(right), np.uint8).reshape(len(right), SAMPLES // 2)
+        out = np.empty((len(left), len(right)), bool)
+        for i, blob in enumerate(left):
+            apart = np.frombuffer(blob, np.uint8) ^ y
+            out[i] = ((apart < 16).sum(axis=1) + ((apart & 15) == 0).sum(axis=1)) >= equal
+        return out
+
+    return near
+
+
+def near_groups(docs: DataFrame, least: float = 0.7, bands: int = 32) -> DataFrame:
+    """doc_id, component_id (the least id of texts linked by likeness); empty texts are linked with equal ones only.
+
+    A single walk may stay out of step after an edit, so a small part of edited
+    copies is missed (one in six texts of 1 500 characters with 1 % of them changed).
+    """
+
+    def sign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            made = [bytes.fromhex(fingerprint(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], ["id", "payload"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("id", F.xxhash64("text"))
+    prints = materialize(rows.where("text <> ''").select("id", "text").distinct().mapInArrow(sign, "id long, payload binary"), "prints")
+    wide = SAMPLES // 2 // bands
+    bandwise = F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("payload", b * wide + 1, wide)) for b in range(bands)]))
+    keys = prints.select(bandwise.alias("key"), "id")
+    led = materialize(keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader"), "bands")
+    members = materialize(keys.join(led, "key"), "band-members")
+    found = joined_components(members, prints, alike(least))
+    named = rows.select("doc_id", "id").join(found, F.col("id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "id").alias("part"))
+    named = materialize(named, "prints-named")
+    return named.join(materialize(named.groupBy("part").agg(F.min("doc_id").alias("component_id")), "prints-least"), "part").select("doc_id", "component_id")
