@@ -78,12 +78,13 @@ def _across(mixed: DataFrame, near: Near) -> DataFrame:
     return both.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def joined_components(members: DataFrame, payloads: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def joined_components(members: DataFrame, payloads: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame] | None = None, few: int = 0) -> DataFrame:
     """(node, component) of all members that have links.
 
     ``members``: (key, id, leader), of keys with several members; ``payloads``:
     (id, payload) of those; ``verify`` confirms what ``near`` lets through, if that
-    is not exact itself.
+    is not exact itself. Keys of at most ``few`` members are compared pair by pair,
+    each pair once, instead of block by block.
     """
     confirmed = verify or (lambda pairs: pairs)
     first = members.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
@@ -93,13 +94,21 @@ def joined_components(members: DataFrame, payloads: DataFrame, near: Near, verif
     placed = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
     # The largest component of a key, of those with several.
-    spread = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("most")).where("parts > 1")
-    mixed = materialize(spread.select("key", F.col("most.component").alias("largest")), "mixed")
+    spread = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("members")).where("parts > 1")
+    mixed = materialize(spread.select("key", F.col("most.component").alias("largest"), "members"), "mixed")
     if mixed.isEmpty():
         return found
+    small = links.limit(0)
+    if few:
+        # Of two members the leader's pair was the only one.
+        sides = placed.join(mixed.where((F.col("members") > 2) & (F.col("members") <= few)).select("key"), "key")
+        x, y = sides.select("key", F.col("id").alias("a"), F.col("component").alias("left")), sides.select("key", F.col("id").alias("b"), F.col("component").alias("right"))
+        pairs = x.join(y, "key").where("a < b and left <> right").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+        small = materialize(confirmed(_paired(pairs, payloads, near)), "links")
+    mixed = mixed.where(F.col("members") > few)
     rows = placed.join(mixed, "key").select("key", "id", "component", (F.col("component") != F.col("largest")).alias("outside"))
     rows = materialize(rows.join(payloads, "id"), "mixed-members")
     fresh = materialize(_across(rows, near).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    new = materialize(confirmed(fresh), "links")
+    new = materialize(confirmed(fresh).union(small) if few else confirmed(fresh), "links")
     forget(rows)
     return found if new.isEmpty() else components(links.union(new))

@@ -209,6 +209,52 @@ def test_line_segments_find_every_near_pair(spark):
     assert all(keys[i] & keys[i + 1] for i in range(0, n, 2))
 
 
+def test_line_threshold_grows_with_length(make_docs):
+    """Near copies with several edits, at and just over the threshold, against all pairs."""
+    import random
+
+    rng = random.Random(11)
+    syllables = ["th", "er", "on", "an", "ing", "re", "tion", " ", ", ", "é", "𝒳"]
+    texts = []
+    for i in range(27):
+        size = (20, 24, 39, 40, 59, 61, 99, 140, 335)[i % 9]
+        a = "".join(rng.choice(syllables) for _ in range(size))[:size]
+        texts.append(a)
+        for more in (0, 0, 1):
+            b, most = list(a), size // 20 + more
+            # Evenly spread edits leave the shortest equal runs.
+            for k in range(most) if more else rng.sample(range(most), rng.randint(1, most)):
+                at = min(len(b) - 1, (2 * k + 1) * size // (2 * most))
+                match rng.randrange(3) if not more else 0:
+                    case 0:
+                        b[at] = "X"
+                    case 1:
+                        b.insert(at, "Y")
+                    case _:
+                        b.pop(at)
+            texts.append("".join(b))
+    texts = sorted({t for t in texts if t.strip() and "\n" not in t})
+    linked = [(a, b) for a in texts for b in texts if a < b and abs(len(a) - len(b)) <= min(len(a), len(b)) // 20 and edits(a, b) <= min(len(a), len(b)) // 20]
+    part = components(linked)
+    assert sum(edits(a, b) > 2 for a, b in linked) > 10
+    rows = [(i, t) for i, t in enumerate(texts)]
+    first = {}
+    for i, t in rows:
+        first.setdefault(part.get(t, t), i)
+    found = {r.doc_id: (r.first_doc, r.kept) for r in linejoin.classes(make_docs(rows)).collect()}
+    assert found == {i: (first[part.get(t, t)], first[part.get(t, t)] == i) for i, t in rows}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab", min_size=60, max_size=90), st.lists(st.tuples(st.integers(0, 59), st.sampled_from("dir")), max_size=12), st.integers(0, 12))
+def test_distance_of_long_lines(a, changes, most):
+    b = list(a)
+    for at, kind in changes:
+        b[at : at + (kind != "i")] = [] if kind == "d" else ["c"]
+    b = "".join(b) + "b" * max(0, 60 - len(b))
+    assert linejoin.within(a, b, most) == (edits(a, b) <= most)
+
+
 def test_mixing_meets_targets(make_docs, corpus):
     rows = corpus + [(1000 + i, "word " * (i % 40)) for i in range(300)]
     docs = make_docs(rows, clash=True)
