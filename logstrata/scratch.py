@@ -1,28 +1,63 @@
-"""Scratch tables below the cluster's shared folder, and ranks without a single task."""
+"""Scratch tables below the cluster's shared folder, and ranks without a single task.
+
+Iterative operators cut their lineage here: a stage is written as Parquet below
+``spark.checkpoint.dir`` and read back, so that a lost executor costs a re-read
+of the file and never a recomputation of the whole chain.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_CONF = "spark.checkpoint.dir"
+#: Seconds between two requests for a collection on the driver.
+COLLECT_EVERY = 2.0
+_collected = [0.0]
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder is set only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``; a local folder is set only where the session names none and has one machine."""
+    root = spark.conf.get(_CONF, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"set {_CONF} to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='logstrata-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.conf.set(_CONF, root)
     return root.rstrip("/")
 
 
 def materialize(frame: DataFrame, label: str) -> DataFrame:
     """Write ``frame`` once and read it back: later plans start at the file."""
-    path = f"{scratch_root(frame.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    spark = frame.sparkSession
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    if time.monotonic() - _collected[0] >= COLLECT_EVERY:
+        # Shuffle files of written stages go when the driver's collector meets their handles.
+        spark._jvm.System.gc()
+        _collected[0] = time.monotonic()
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete scratch tables that no later plan reads."""
+    for frame in frames:
+        spark = frame.sparkSession
+        root = scratch_root(spark)
+        for file in frame.inputFiles()[:1]:
+            folder = file.rsplit("/", 1)[0]
+            if folder.removeprefix("file:").lstrip("/").startswith(root.removeprefix("file:").lstrip("/")):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def width(spark: SparkSession) -> int:
+    """Partitions of a shuffle in this session."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def with_rank(frame: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -32,7 +67,7 @@ def with_rank(frame: DataFrame, order: list[Column], name: str = "rank") -> Data
     partitioned and numbered per partition, and each partition starts where the
     counts of those before it end: one number a partition meets in one place.
     """
-    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = width(frame.sparkSession)
     sorted_ = frame.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     numbered = materialize(sorted_.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "ranked")
     counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
