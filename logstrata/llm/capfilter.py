@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import forget, materialize
+from logstrata.scratch import forget, materialize
 
 #: A pair at cosine 0.95 exactly shares a codeword 1999 times in 2000, at 0.98 always (measured, 64 components).
 LEAST, PASSES, SHARE, BLOCK = 0.95, 128, 8.0, 1024

@@ -29,8 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .leaders import Near, joined_components
-from .store import materialize, width
+from logstrata.scratch import materialize, width
+
+from .leaders import Closeness, Near, joined_components
 from .textkit import mix64
 
 SAMPLES, CLASSES, PERIOD = 128, 64, 1024
@@ -202,16 +203,21 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
 
 
 def alike(least: float) -> Near:
-    """Fingerprints whose likeness is at least ``least``."""
-    equal = (1 / 16 + least * 15 / 16) * SAMPLES
-
-    def near(left: list[bytes], right: list[bytes], key: int | None) -> np.ndarray:
-        y = np.frombuffer(b"".join(right), np.uint8).reshape(len(right), SAMPLES // 2)
-        out = np.empty((len(left), len(right)), bool)
-        for i, blob in enumerate(left):
-            apart = np.frombuffer(blob, np.uint8) ^ y
-            out[i] = ((apart < 16).sum(axis=1) + ((apart & 15) == 0).sum(axis=1)) >= equal
-        return out
+    """Likeness of fingerprints, negative under ``least``."""
+
+    def near(payloads: list[bytes]) -> Closeness:
+        rows = np.frombuffer(b"".join(payloads), np.uint8).reshape(len(payloads), SAMPLES // 2)
+
+        def close(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = np.empty(len(i))
+            for s in range(0, len(i), 1 << 14):
+                part = slice(s, s + (1 << 14))
+                apart = rows[i[part]] ^ rows[j[part]]
+                equal = (apart < 16).sum(axis=1) + ((apart & 15) == 0).sum(axis=1)
+                out[part] = (equal / SAMPLES - 1 / 16) / (15 / 16)
+            return np.where(out >= least, out, -1.0)
+
+        return close
 
     return near
 

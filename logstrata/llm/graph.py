@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import forget, materialize
+from logstrata.scratch import forget, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,6 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     nodes = start.select(F.col("a").alias("node")).union(start.select("b")).distinct()
     labels = nodes.select("node", F.xxhash64("node").alias("at"))
     edges = materialize(start.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v")), "edges")
+    scratch = [start]
     while not edges.isEmpty():
         both = edges.union(edges.select("v", "u"))
         parent = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), "parents")
@@ -33,8 +34,9 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.join(parent, labels["at"] == parent["u"], "left").select("node", F.xxhash64(F.coalesce("p", "at")).alias("at"))
         following = materialize(moved, "edges")
         forget(edges)
-        edges = following
+        edges, scratch = following, [*scratch, parent]
     labels = materialize(labels, "labels")
     least = materialize(labels.groupBy("at").agg(F.min("node").alias("component")), "least")
-    forget(edges)
-    return labels.join(least, "at").select("node", "component")
+    found = materialize(labels.join(least, "at").select("node", "component"), "components")
+    forget(edges, labels, least, *scratch)
+    return found

@@ -1,15 +1,20 @@
-"""Components of similarity links among members of hot keys, without emitting all pairs.
-
-Members that share a key are candidates for each other. First the least member
-of a key leads: every other is compared with it, n rows for n members. The links
-found give components. In a key whose members these leave in several components,
-the members outside its largest one are then compared with all members of other
-components; that happens within a task, block by block, and only pairs that pass
-come out. Afterwards every pair of members that share a key is in one component
-or has been compared; so no link that would join components is lost, and a large
-group of copies, which is one component after the first step, costs no more.
-
-A task holds two blocks of at most about ``BLOCK`` members, however many share a key.
+"""Components of similarity links among members that share keys, with linear output.
+
+Members that share a key are candidates for each other. First every member is
+compared with one leader: the least of the leaders of its keys. The links found
+give components. Keys whose members still lie in several components then go
+through their pairs of different components, block by block within tasks:
+
+* where ``near`` is exact, a task joins components as it finds links, skips pairs
+  that it has joined already, and returns the links that joined: fewer than it
+  has members;
+* where ``near`` is a bound that a pair must pass, a task returns the ``most``
+  closest candidates of each member. They are verified, components grow, and
+  rounds with eight times as many go on until no member had more to offer.
+
+So every pair that shares a key ends up in one component or refuted, nothing is
+capped, and what tasks return grows with the members, not with their pairs. A task
+holds two blocks of at most about ``BLOCK`` members, however many share a key.
 """
 
 from __future__ import annotations
@@ -21,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logstrata.scratch import forget, materialize, width
+
 from .graph import components
-from .store import forget, materialize
 
 BLOCK = 2048
-#: near(left, right, key): which payloads of ``left`` (rows) and ``right`` (columns) may be, or are, alike.
-#: Given a key, it may leave out pairs that another key which they share will bring.
-Near = Callable[[list[bytes], list[bytes], int | None], np.ndarray]
+#: Members up to which a key's pairs are listed together with those of other keys; pairs looked at at a time; pairs verified between two looks at the components.
+SMALL, PAIRS, STEP = 24, 1 << 17, 4096
+#: near(payloads)(i, j): closeness of payloads i and j, negative where they cannot be linked.
+Closeness = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Near = Callable[[list[bytes]], Closeness]
 
 
 def _with(pairs: DataFrame, payloads: DataFrame, name: str) -> DataFrame:
@@ -39,76 +47,197 @@ def _paired(pairs: DataFrame, payloads: DataFrame, near: Near) -> DataFrame:
 
     def keep(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                good = [bool(near([x], [y], None)[0, 0]) for x, y in zip(part.column("payload_a").to_pylist(), part.column("payload_b").to_pylist(), strict=True)]
+            for start in range(0, batch.num_rows, STEP):
+                part = batch.slice(start, STEP)
+                n = part.num_rows
+                close = near(part.column("payload_a").to_pylist() + part.column("payload_b").to_pylist())
+                good = close(np.arange(n), np.arange(n) + n) >= 0
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     full = _with(_with(pairs, payloads, "b"), payloads, "a")
     return full.select("a", "b", "payload_a", "payload_b").mapInArrow(keep, "a long, b long")
 
 
-def _across(mixed: DataFrame, near: Near) -> DataFrame:
-    """Pairs that pass, of ``mixed`` (key, id, component, outside, payload): a member outside with any of another component."""
-
-    def compare(table: pa.Table) -> pa.Table:
-        side, key = table.column("left").to_numpy(zero_copy_only=False), table.column("key")[0].as_py()
-        ids, part = table.column("id").to_numpy(), table.column("component").to_numpy()
-        outside = table.column("outside").to_numpy(zero_copy_only=False)
-        payload = table.column("payload").to_pylist()
-        left, right = np.flatnonzero(side), np.flatnonzero(~side)
-        a, b = [], []
-        for start in range(0, len(left), 64):
-            some = left[start : start + 64]
-            # Two members outside meet twice; the lesser id takes the pair.
-            wanted = (part[some][:, None] != part[right]) & (~outside[right] | (ids[some][:, None] < ids[right]))
-            if wanted.any():
-                columns = np.flatnonzero(wanted.any(axis=0))
-                x, y = np.nonzero(near([payload[i] for i in some], [payload[i] for i in right[columns]], key) & wanted[:, columns])
-                a.append(ids[some[x]])
-                b.append(ids[right[columns[y]]])
-        u, v = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
-        return pa.table({"a": np.minimum(u, v), "b": np.maximum(u, v)})
-
-    sizes = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rights"), F.ceil(F.count_if("outside") / BLOCK).cast("int").alias("lefts"))
-    placed = mixed.join(sizes, "key").withColumn("own", F.xxhash64(F.lit(9), "id"))
-    rights = placed.select("key", F.pmod("own", F.col("rights")).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.lit(False).alias("left"), "id", "component", "outside", "payload")
-    lefts = placed.where("outside").select("key", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), F.pmod("own", F.col("lefts")).cast("int").alias("i"), F.lit(True).alias("left"), "id", "component", "outside", "payload")
-    both = rights.select("key", "i", "j", "left", "id", "component", "outside", "payload").union(lefts.select("key", "i", "j", "left", "id", "component", "outside", "payload"))
-    return both.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
-
-
-def joined_components(members: DataFrame, payloads: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame] | None = None, few: int = 0) -> DataFrame:
-    """(node, component) of all members that have links.
-
-    ``members``: (key, id, leader), of keys with several members; ``payloads``:
-    (id, payload) of those; ``verify`` confirms what ``near`` lets through, if that
-    is not exact itself. Keys of at most ``few`` members are compared pair by pair,
-    each pair once, instead of block by block.
-    """
-    confirmed = verify or (lambda pairs: pairs)
-    first = members.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    tested = materialize(_paired(first, payloads, near), "pairs")
-    links = materialize(confirmed(tested), "links")
-    found = materialize(components(links), "components")
+def _runs(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(table, first row of each group) with whole groups of rows sorted by (key, i, j)."""
+    held: pa.Table | None = None
+    for batch in frames:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        new = np.zeros(table.num_rows, bool)
+        for name in ("key", "i", "j"):
+            values = table.column(name).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        starts = np.flatnonzero(new)
+        last = int(starts[-1]) if len(starts) else 0
+        if last:
+            yield table.slice(0, last).combine_chunks(), np.append(0, starts[:-1])
+        held = table.slice(last)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), np.zeros(1, np.int64)
+
+
+def _pairs(first: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of the left side, row of the right side) of each group, all of a left row together in large groups."""
+    end = np.append(first[1:], n)
+    small = end - first <= SMALL
+    group = np.repeat(np.arange(len(first)), end - first)
+    rows = np.flatnonzero(small[group])
+    for shift in range(1, int((end - first)[small].max(initial=0))):
+        i = rows[rows + shift < n]
+        j = i + shift
+        i, j = i[group[i] == group[j]], j[group[i] == group[j]]
+        for x, y in ((i, j), (j, i)):
+            good = left[x] & right[y]
+            yield x[good], y[good]
+    for a, b in zip(first[~small].tolist(), end[~small].tolist(), strict=True):
+        lefts, rights = np.flatnonzero(left[a:b]) + a, np.flatnonzero(right[a:b]) + a
+        step = max(1, PAIRS // max(len(rights), 1))
+        for s in range(0, len(lefts), step):
+            some = lefts[s : s + step]
+            yield np.repeat(some, len(rights)), np.tile(rights, len(some))
+
+
+class _Parts:
+    """Components of a table's rows, joined as links are found."""
+
+    def __init__(self, component: np.ndarray):
+        _, self.of = np.unique(component, return_inverse=True)
+        self.parent = np.arange(int(self.of.max(initial=-1)) + 1)
+
+    def roots(self, rows: np.ndarray) -> np.ndarray:
+        while True:
+            up = self.parent[self.parent]
+            if (up == self.parent).all():
+                return self.parent[self.of[rows]]
+            self.parent = up
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> list[int]:
+        """Numbers of the links (i, j) that joined components."""
+        parent, out = self.parent, []
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for k, (x, y) in enumerate(zip(self.of[i].tolist(), self.of[j].tolist(), strict=True)):
+            x, y = find(x), find(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append(k)
+        return out
+
+
+_FOUND = "a long, b long, more boolean"
+
+
+def _compare(rows: DataFrame, near: Near, most: int | None) -> DataFrame:
+    """(a, b, more) of ``rows`` (key, i, j, id, component, lefts, rights, payload), sorted by (key, i, j); all joining links if ``most`` is None, else candidates."""
+
+    def joining(table: pa.Table, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("lefts", "rights"))
+        parts, close = _Parts(table.column("component").to_numpy()), near(table.column("payload").to_pylist())
+        for i, j in _pairs(first, table.num_rows, left, right):
+            apart = parts.roots(i) != parts.roots(j)
+            i, j = i[apart], j[apart]
+            for s in range(0, len(i), STEP):
+                x, y = i[s : s + STEP], j[s : s + STEP]
+                apart = parts.roots(x) != parts.roots(y)
+                x, y = x[apart], y[apart]
+                good = close(x, y) >= 0
+                kept = parts.join(x[good], y[good])
+                yield x[good][kept], y[good][kept], False
+
+    def closest(table: pa.Table, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("lefts", "rights"))
+        part, close = table.column("component").to_numpy(), near(table.column("payload").to_pylist())
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def best(last: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+            if not held:
+                return
+            i, j, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((-c, i))
+            i, j = i[order], j[order]
+            start = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
+            rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+            top = rank < most
+            yield i[top], j[top], not top.all()
+
+        for i, j in _pairs(first, table.num_rows, left, right):
+            apart = part[i] != part[j]
+            i, j = i[apart], j[apart]
+            c = close(i, j)
+            good = c >= 0
+            held.append((i[good], j[good], c[good]))
+            if sum(len(x[0]) for x in held) > PAIRS:
+                # Pairs of a left row in a large group come together, so its best are among those held; small groups are few rows.
+                yield from best(False)
+        yield from best(True)
+
+    def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _runs(frames):
+            ids = table.column("id").to_numpy()
+            for i, j, more in (joining if most is None else closest)(table, first):
+                if len(i):
+                    a, b = ids[i], ids[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(i), more))], ["a", "b", "more"])
+
+    sorted_ = rows.repartition(width(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return sorted_.mapInArrow(compare, _FOUND)
+
+
+def _blocks(members: DataFrame, found: DataFrame, payloads: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(rows, the scratch table behind them): members of keys with several components, dealt to pairs of blocks: those outside their key's largest component on the left, all on the right."""
     placed = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-    # The largest component of a key, of those with several.
     spread = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("members")).where("parts > 1")
-    mixed = materialize(spread.select("key", F.col("most.component").alias("largest"), "members"), "mixed")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = spread.select("key", F.col("most.component").alias("largest"), blocks(F.col("members")).alias("right_blocks"), blocks(F.col("members") - F.col("most.size")).alias("left_blocks"))
+    mixed = materialize(mixed, "mixed")
     if mixed.isEmpty():
-        return found
-    small = links.limit(0)
-    if few:
-        # Of two members the leader's pair was the only one.
-        sides = placed.join(mixed.where((F.col("members") > 2) & (F.col("members") <= few)).select("key"), "key")
-        x, y = sides.select("key", F.col("id").alias("a"), F.col("component").alias("left")), sides.select("key", F.col("id").alias("b"), F.col("component").alias("right"))
-        pairs = x.join(y, "key").where("a < b and left <> right").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-        small = materialize(confirmed(_paired(pairs, payloads, near)), "links")
-    mixed = mixed.where(F.col("members") > few)
-    rows = placed.join(mixed, "key").select("key", "id", "component", (F.col("component") != F.col("largest")).alias("outside"))
+        forget(mixed)
+        return None
+    rows = placed.join(mixed, "key").withColumn("outside", F.col("component") != F.col("largest")).withColumn("own", F.xxhash64(F.lit(9), "id"))
     rows = materialize(rows.join(payloads, "id"), "mixed-members")
-    fresh = materialize(_across(rows, near).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    new = materialize(confirmed(fresh).union(small) if few else confirmed(fresh), "links")
-    forget(rows)
-    return found if new.isEmpty() else components(links.union(new))
+    forget(mixed)
+    columns = ["key", "i", "j", "id", "component", "lefts", "rights", "payload"]
+    single = F.col("right_blocks") == 1
+    one = rows.where(single).withColumns({"i": F.lit(0), "j": F.lit(0), "lefts": F.col("outside"), "rights": F.lit(True)})
+    i, j = F.pmod("own", F.col("left_blocks")).cast("int"), F.pmod("own", F.col("right_blocks")).cast("int")
+    several = rows.where(~single)
+    right = several.withColumns({"j": j, "i": F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)), "lefts": F.lit(False), "rights": F.lit(True)})
+    left = several.where("outside").withColumns({"i": i, "j": F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1)), "lefts": F.lit(True), "rights": F.lit(False)})
+    return one.select(columns).union(right.select(columns)).union(left.select(columns)), rows
+
+
+def joined_components(members: DataFrame, payloads: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, component) of all members that have links.
+
+    ``members``: (key, id, leader), of keys with several members; ``payloads``:
+    (id, payload) of those; ``verify`` confirms candidates (a, b) that pass ``near``,
+    if that is a bound and not exact.
+    """
+    first = members.where("leader <> id").groupBy("id").agg(F.min("leader").alias("a")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+    tested = materialize(_paired(first, payloads, near), "tested")
+    links = materialize(verify(tested), "links") if verify else tested
+    found = components(links)
+    most = None if verify is None else 1
+    while (dealt := _blocks(members, found, payloads)) is not None:
+        rows, scratch = dealt
+        listed = materialize(_compare(rows, near, most).groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
+        forget(scratch)
+        more = not listed.where("more").isEmpty()
+        fresh = listed.select("a", "b") if verify is None else materialize(listed.select("a", "b").join(tested, ["a", "b"], "left_anti"), "tested")
+        new = materialize(verify(fresh), "links") if verify else fresh
+        if not new.isEmpty():
+            links = links.union(new)
+            older, found = found, components(links)
+            forget(older)
+        if verify is None or not more:
+            break
+        tested, most = tested.union(fresh), most * 8
+    return found

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize, width
+from logstrata.scratch import materialize, width
 
 _SP = r"\x20\x09-\x0D"
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import exchange as X
-from .store import forget, materialize
+from logstrata.scratch import forget, materialize
 from .textkit import mix64, shingles, texts, words
 
 WINDOW, ANCHOR = 13, 5
