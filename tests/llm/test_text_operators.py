@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -12,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from logstrata.llm import editprint, linejoin, minhash, mixing, substring, textkit
+from logstrata.llm import editprint, leaders, linejoin, minhash, mixing, substring, textkit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -140,16 +141,22 @@ def test_banded_distance(a, b, most):
 
 
 def line_rows():
-    base = "the quick brown fox jumps over the lazy dog and runs away from all of it"
+    base = "the quick brown fox jumps over the lazy dog and runs away from all of it and then some more of it"
     lines = [base, base.replace("quick", "quack"), base + "!", base[2:], base.upper(), "short", "short", "shore", " ", "", base.replace("lazy", "l") + "xx"]
     chain = [base + " one" + "z" * k for k in range(0, 9, 2)]
-    return [(1, "\n".join(lines[:4])), (2, "\n".join(lines[4:])), (3, None), (4, ""), (5, "\n".join(chain)), (6, "\n".join(lines[:2])), (6, "\n".join(lines[:2])), (None, base + "\nalone in its document, with nothing like it anywhere else at all")]
+    middle = "a line of forty-nine characters, and not one more"
+    odd = [middle, middle.replace("forty", "farty"), middle[:39], middle[:38] + "x", "x" * 100, "x" * 101, "x" * 104, base * 80, base * 80 + "y" * 90, base * 80 + "z" * 300]
+    return [(1, "\n".join(lines[:4])), (2, "\n".join(lines[4:])), (3, None), (4, ""), (5, "\n".join(chain)), (6, "\n".join(lines[:2])), (6, "\n".join(lines[:2])), (7, "\n".join(odd)), (None, base + "\nalone in its document, with nothing like it anywhere else at all")]
 
 
-def expected_lines(rows, near=50, most=2):
+def allowed(a, b, per_edit):
+    return min(len(a), len(b)) // per_edit
+
+
+def expected_lines(rows, per_edit=linejoin.PER_EDIT):
     lines = [((d if d is not None else 1 << 62, i, k), d, t) for i, (d, text) in enumerate(rows) if text is not None for k, t in enumerate(text.split("\n"))]
     texts = sorted({t for _, _, t in lines if WORD.search(t)})
-    part = components([(a, b) for a in texts for b in texts if a < b and len(a) >= near and len(b) >= near and edits(a, b) <= most])
+    part = components([(a, b) for a in texts for b in texts if a < b and abs(len(a) - len(b)) <= allowed(a, b, per_edit) and edits(a, b) <= allowed(a, b, per_edit)])
     first = {}
     for place, _, t in lines:
         if WORD.search(t):
@@ -181,62 +188,81 @@ def test_line_dedup_returns_documents(make_docs):
     assert linejoin.classes(make_docs([])).collect() == []
 
 
-def test_line_segments_find_every_near_pair(spark):
-    """All strings a few edits away share a key with the original."""
-    import random
-
+def changed(rng, a, most):
+    """``a`` with at most ``most`` edits, evenly spread, which leaves the shortest equal stretches."""
+    b = list(a)
+    for k in range(most):
+        at = min(len(b) - 1, (2 * k + 1) * len(a) // (2 * most))
+        match rng.randrange(3):
+            case 0:
+                b[at] = rng.choice("xyz")
+            case 1:
+                b.insert(at, rng.choice("xyz"))
+            case _:
+                b.pop(at)
+    return "".join(b)
+
+
+@pytest.mark.parametrize("per_edit,gram", [(40, 20), (20, 14), (10, 5)])
+def test_near_lines_share_an_index_key(per_edit, gram):
+    """Of two lines as far apart as allowed one probes a segment of the other, at like places and lengths."""
     rng = random.Random(3)
-    rows, n = [], 0
-    for _ in range(40):
-        a = "".join(rng.choice("abcde ") for _ in range(rng.randint(50, 70)))
+    pairs = []
+    for n in range(300):
+        a = "".join(rng.choice("abcde ") for _ in range(rng.choice([per_edit, per_edit + 1, 2 * per_edit - 1, 2 * per_edit, 5 * per_edit, 9 * per_edit + 3, 33 * per_edit, rng.randint(per_edit, 20 * per_edit)])))
+        b = changed(rng, a, rng.randint(0, len(a) // per_edit))
+        if min(len(a), len(b)) >= per_edit and edits_within(a, b, allowed(a, b, per_edit)):
+            pairs.append((a, b))
+    found = defaultdict(list)
+    for line, key, place, length, indexed in linejoin.keys_of([t for p in pairs for t in p], per_edit, gram):
+        for row in zip(line.tolist(), key.tolist(), place.tolist(), length.tolist(), indexed.tolist(), strict=True):
+            found[row[0]].append(row[1:])
+    assert len(pairs) > 200
+    for k in range(len(pairs)):
+        x, y = found[2 * k], found[2 * k + 1]
+        assert any(u[0] == v[0] and abs(u[1] - v[1]) <= 1 and abs(u[2] - v[2]) <= 1 and (u[3] or v[3]) for u in x for v in y)
+        assert all(p < 1024 and n < 32 for _, p, n, _ in x + y) or gram < 20
+
+
+def edits_within(a, b, most):
+    return abs(len(a) - len(b)) <= most and linejoin.within(a, b, most)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="ab", min_size=1, max_size=90), st.lists(st.tuples(st.integers(0, 89), st.sampled_from("dir")), max_size=9), st.integers(1, 31)), min_size=1, max_size=5))
+def test_banded_words_against_the_table(cases):
+    x, y, most = [], [], []
+    for a, changes, k in cases:
         b = list(a)
-        for _ in range(2):
-            i = rng.randrange(len(b))
-            match rng.randrange(3):
-                case 0:
-                    b[i] = "x"
-                case 1:
-                    b.insert(i, "y")
-                case _:
-                    b.pop(i)
-        b = "".join(b)
-        if len(b) >= 50:
-            rows += [(n, a), (n + 1, b)]
-            n += 2
-    keys = defaultdict(set)
-    for r in linejoin._keys(spark.createDataFrame(rows, "id long, line string"), 2, 50).collect():
-        keys[r.id].add(r.key)
-    assert all(keys[i] & keys[i + 1] for i in range(0, n, 2))
+        for at, kind in changes:
+            b[at : at + (kind != "i")] = [] if kind == "d" else ["c"]
+        a, b = sorted((a, "".join(b)), key=len, reverse=True)
+        if len(a) - len(b) <= k:
+            x.append(a)
+            y.append(b)
+            most.append(k)
+    codes = [[np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in side] for side in (x, y)]
+    got = linejoin.banded(*codes, np.array(most, np.int64)).tolist()
+    assert got == [edits(a, b) <= k for a, b, k in zip(x, y, most, strict=True)]
 
 
 def test_line_threshold_grows_with_length(make_docs):
-    """Near copies with several edits, at and just over the threshold, against all pairs."""
-    import random
-
+    """Near copies with several edits, at and just over the threshold, against all pairs; short, empty and very long lines among them."""
     rng = random.Random(11)
     syllables = ["th", "er", "on", "an", "ing", "re", "tion", " ", ", ", "é", "𝒳"]
-    texts = []
+    texts = ["", "x", "xy"]
     for i in range(27):
-        size = (20, 24, 39, 40, 59, 61, 99, 140, 335)[i % 9]
+        size = (39, 40, 49, 79, 80, 121, 280, 335, 1700)[i % 9]
         a = "".join(rng.choice(syllables) for _ in range(size))[:size]
         texts.append(a)
         for more in (0, 0, 1):
-            b, most = list(a), size // 20 + more
-            # Evenly spread edits leave the shortest equal runs.
-            for k in range(most) if more else rng.sample(range(most), rng.randint(1, most)):
-                at = min(len(b) - 1, (2 * k + 1) * size // (2 * most))
-                match rng.randrange(3) if not more else 0:
-                    case 0:
-                        b[at] = "X"
-                    case 1:
-                        b.insert(at, "Y")
-                    case _:
-                        b.pop(at)
-            texts.append("".join(b))
-    texts = sorted({t for t in texts if t.strip() and "\n" not in t})
-    linked = [(a, b) for a in texts for b in texts if a < b and abs(len(a) - len(b)) <= min(len(a), len(b)) // 20 and edits(a, b) <= min(len(a), len(b)) // 20]
+            most = size // 40 + more
+            texts.append(changed(rng, a, most if more else rng.randint(0, most)))
+    texts = sorted({t for t in texts if "\n" not in t})
+    per = linejoin.PER_EDIT
+    linked = [(a, b) for a in texts for b in texts if a < b and edits_within(a, b, allowed(a, b, per))]
     part = components(linked)
-    assert sum(edits(a, b) > 2 for a, b in linked) > 10
+    assert len(linked) > 20
     rows = [(i, t) for i, t in enumerate(texts)]
     first = {}
     for i, t in rows:
@@ -245,6 +271,24 @@ def test_line_threshold_grows_with_length(make_docs):
     assert found == {i: (first[part.get(t, t)], first[part.get(t, t)] == i) for i, t in rows}
 
 
+def test_a_common_gram_keeps_its_links(make_docs, monkeypatch):
+    """Many lines with one passage, some of them near copies: common keys go round the buckets and lose nothing."""
+    monkeypatch.setattr(linejoin, "COMMON", 3)
+    monkeypatch.setattr(leaders, "BLOCK", 16)
+    rng = random.Random(5)
+    passage = "a passage that is very common in all of these lines indeed"
+    texts = []
+    for i in range(60):
+        own = "".join(rng.choice("abcdefgh ") for _ in range(70))
+        texts += [own[:35] + passage + own[35:]] if i % 3 else [own + passage, changed(rng, own + passage, 2)]
+    part = components([(a, b) for a in texts for b in texts if a < b and edits_within(a, b, allowed(a, b, linejoin.PER_EDIT))])
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(part.get(t, t), i)
+    found = {r.doc_id: r.first_doc for r in linejoin.classes(make_docs(list(enumerate(texts)))).collect()}
+    assert found == {i: first[part.get(t, t)] for i, t in enumerate(texts)}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="ab", min_size=60, max_size=90), st.lists(st.tuples(st.integers(0, 59), st.sampled_from("dir")), max_size=12), st.integers(0, 12))
 def test_distance_of_long_lines(a, changes, most):
@@ -319,7 +363,6 @@ def test_fingerprints_of_neighbours(make_docs, corpus):
 
 
 def test_likeness_follows_edit_distance():
-    import random
 
     rng = random.Random(1)
     text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
@@ -335,7 +378,6 @@ def test_likeness_follows_edit_distance():
 
 
 def test_fingerprint_groups(make_docs):
-    import random
 
     rng = random.Random(9)
     texts = ["".join(rng.choice("abcdefghij ") for _ in range(1500)) for _ in range(6)]
