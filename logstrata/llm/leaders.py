@@ -58,14 +58,14 @@ def _paired(pairs: DataFrame, payloads: DataFrame, near: Near) -> DataFrame:
     return full.select("a", "b", "payload_a", "payload_b").mapInArrow(keep, "a long, b long")
 
 
-def _runs(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """(table, first row of each group) with whole groups of rows sorted by (key, i, j)."""
+def runs(frames: Iterator[pa.RecordBatch], names: tuple[str, ...] = ("key", "i", "j")) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(table, first row of each group) with whole groups of rows sorted by ``names``."""
     held: pa.Table | None = None
     for batch in frames:
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([held, table]) if held is not None else table
         new = np.zeros(table.num_rows, bool)
-        for name in ("key", "i", "j"):
+        for name in names:
             values = table.column(name).to_numpy()
             new[1:] |= values[1:] != values[:-1]
         starts = np.flatnonzero(new)
@@ -179,7 +179,7 @@ def _compare(rows: DataFrame, near: Near, most: int | None) -> DataFrame:
         yield from best(True)
 
     def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, first in _runs(frames):
+        for table, first in runs(frames):
             ids = table.column("id").to_numpy()
             for i, j, more in (joining if most is None else closest)(table, first):
                 if len(i):

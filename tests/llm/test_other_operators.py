@@ -240,19 +240,32 @@ def test_embedding_groups_against_all_pairs(spark):
     assert capfilter.near_groups(table.limit(0)).collect() == []
 
 
-def test_cap_filters_recall_at_the_threshold():
-    """Pairs at just the threshold share a first codeword; far pairs seldom do."""
+@pytest.mark.parametrize("size", [1_000, 50_000, 1_000_000])
+def test_cap_filters_recall_at_the_threshold(size):
+    """Of pairs at just the threshold few share no filter, whatever the number of vectors; far pairs seldom share one."""
     rng = np.random.default_rng(4)
-    dim, n = 64, 3000
+    dim, n = 64, 1500
     x = rng.standard_normal((n, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y = rng.standard_normal((n, dim))
     y -= (y * x).sum(axis=1, keepdims=True) * x
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     y = 0.95 * x + np.sqrt(1 - 0.95**2) * y
-    size = 50_000
-    share = capfilter.SHARE / size
-    words, height = int(np.ceil(np.sqrt(capfilter.PASSES / share))), capfilter.cap_height(share, dim)
-    a, b = capfilter.decode(x, words, height), capfilter.decode(y, words, height)
-    met = np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)])
-    assert met > 0.998
+    words, height = capfilter.plan(size, dim, 0.95)
+    a, b = capfilter._passed(x, words, height), capfilter._passed(y, words, height)
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]) > 0.99
+    assert np.mean([len(p) for p in a]) < 110
+    # A thousand vectors are few enough that most meet.
+    assert size == 1_000 or np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a[1:], b[:-1], strict=True)]) < 0.15
+
+
+def test_list_decoding_finds_exactly_the_filters_passed():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((40, 9))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rotation, one, two = capfilter._code(9, 12, 1)
+    turned = x @ rotation
+    product = turned[:, :5] @ one.T
+    plain = product[:, :, None] + (turned[:, 5:] @ two.T)[:, None, :] >= 0.4
+    who, passed = capfilter.decode(x, 12, 0.4, 1)
+    assert sorted(zip(who.tolist(), passed.tolist(), strict=True)) == [(int(k), int(i * 12 + j)) for k, i, j in zip(*np.nonzero(plain), strict=True)]
