@@ -10,6 +10,8 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ _CONF = "spark.checkpoint.dir"
 #: Seconds between two requests for a collection on the driver.
 COLLECT_EVERY = 2.0
 _collected = [0.0]
+#: Folders written within each open ``passing``.
+_passing: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -35,6 +39,8 @@ def materialize(frame: DataFrame, label: str) -> DataFrame:
     """Write ``frame`` once and read it back: later plans start at the file."""
     spark = frame.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _passing:
+        made.append(path)
     frame.write.option("compression", "zstd").parquet(path)
     if time.monotonic() - _collected[0] >= COLLECT_EVERY:
         # Shuffle files of written stages go when the driver's collector meets their handles.
@@ -43,16 +49,35 @@ def materialize(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _plain(path: str) -> str:
+    return path.removeprefix("file:").lstrip("/")
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete scratch tables that no later plan reads."""
     for frame in frames:
         spark = frame.sparkSession
-        root = scratch_root(spark)
-        for file in frame.inputFiles()[:1]:
-            folder = file.rsplit("/", 1)[0]
-            if folder.removeprefix("file:").lstrip("/").startswith(root.removeprefix("file:").lstrip("/")):
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
+            if _plain(folder).startswith(_plain(scratch_root(spark))):
+                _delete(spark, folder)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Scratch tables written within go at the end, but for those whose folders are taken off the list."""
+    made: list[str] = []
+    _passing.append(made)
+    try:
+        yield made
+    finally:
+        _passing.remove(made)
+        for folder in made:
+            _delete(spark, folder)
 
 
 def width(spark: SparkSession) -> int:
