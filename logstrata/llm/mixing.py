@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling.
 
 Every document of a source expects ``r = target / source_size`` copies. The
-expected copies are prefix-summed in (size, hash, doc_id) order, one random
+expected copies are prefix-summed in (size, hash of doc_id, place read) order, one random
 offset per source is added, and a document is emitted once for every integer
 boundary that its stretch crosses. Because partial sums never differ from their
 expectation by a whole copy and sizes ascend, a source's taken words differ from
@@ -49,18 +49,27 @@ def _levels(sources: DataFrame, cap: float) -> tuple[float, float]:
     return float(total), float(level)
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17, keep: tuple[str, ...] = ("*",)) -> DataFrame:
-    """One row per input row: ``_doc`` (the row's columns named in ``keep``), size, source_size, target, copies."""
-    spark = docs.sparkSession
-    parts = max(width(spark), 1)
+def _base(docs: DataFrame, seed: int, keep: tuple[str, ...]) -> DataFrame:
+    """Every row once, written: ``_doc`` (its columns named in ``keep``), a number, source key, size and hash; words are counted here alone."""
     key = F.when(F.col("source").isNotNull(), F.concat(F.lit("0"), F.col("source"))).otherwise(F.lit("1"))
     rows = docs.select(F.struct(*keep).alias("_doc"), key.alias("_key"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_h"), F.monotonically_increasing_id().alias("_row"))
+    return materialize(rows, "mixing-documents")
+
+
+def _drawn(base: DataFrame, weights: tuple[int, ...], cap: float, seed: int) -> DataFrame:
+    """_row, size, source_size, target, copies: one row per row of ``base``."""
     order = ["_key", "size", "_h", "_row"]
-    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = materialize(placed.drop("_h", "_row").withColumns({"_pid": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "mixing")
+    placed = base.select(*order).repartitionByRange(max(width(base.sparkSession), 1), *order).sortWithinPartitions(*order)
+    placed = materialize(placed.drop("_h").withColumns({"_pid": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "mixing")
     return _with_copies(placed, weights, cap, seed)
 
 
+def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17, keep: tuple[str, ...] = ("*",)) -> DataFrame:
+    """One row per input row: ``_doc`` (the row's columns named in ``keep``), size, source_size, target, copies."""
+    base = _base(docs, seed, keep)
+    return base.select("_doc", "_row").join(_drawn(base, weights, cap, seed), "_row").drop("_row")
+
+
 def _with_copies(placed: DataFrame, weights: tuple[int, ...], cap: float, seed: int) -> DataFrame:
     segments = materialize(placed.groupBy("_pid", "_key").agg(F.count("*").alias("_n"), F.sum("size").alias("_sum"), F.min("_at").alias("_first")), "mixing-segments")
     own = segments.groupBy("_key").agg(F.sum("_sum").alias("_s"), F.min("_pid").alias("_home"))
@@ -80,10 +89,12 @@ def _with_copies(placed: DataFrame, weights: tuple[int, ...], cap: float, seed:
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     index = F.col("_before") + F.col("_at") - F.col("_first")
     copies = F.floor((index + 1) * rate + F.col("_u")) - F.floor(index * rate + F.col("_u"))
-    return joined.select("_doc", "size", "source_size", "target", F.least(copies, F.lit(int(cap))).cast("long").alias("copies"))
+    return joined.select("_row", "size", "source_size", "target", F.least(copies, F.lit(int(cap))).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17) -> DataFrame:
     """The mix: every row of ``docs`` as many times as it was drawn, with its own columns."""
-    drawn = plan(docs, weights, cap, seed).where("copies > 0")
-    return drawn.select("_doc", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")
+    base = _base(docs, seed, ("*",))
+    drawn = materialize(_drawn(base, weights, cap, seed).where("copies > 0").select("_row", "copies"), "mixing-copies")
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
+    return base.select("_doc", "_row").join(drawn, "_row").select("_doc", copies).select("_doc.*")

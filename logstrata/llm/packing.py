@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logstrata.scratch import materialize
+
 from .textkit import batches
 from .tokens import encoder
 
@@ -164,7 +165,8 @@ def pack_pieces(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, ro
         if after < before:
             used -= before - after
             rest = current.where(~loose)
-            current = materialize(packed.unionByName(rest), "packed")
+            # Sequences that stay are read from where they were written.
+            current = packed.unionByName(rest)
         elif wide:
             failures += 1
             if failures > 1 or groups == 1:

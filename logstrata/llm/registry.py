@@ -48,7 +48,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.plan(_read(spark, sf_dir, "documents"), keep=("doc_id", "source"))
-    return drawn.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.source").alias("source"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return drawn.select(F.col("_doc.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("_doc.source").alias("source"), "copies")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
