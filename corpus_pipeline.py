@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logstrata.llm import linejoin, minhash, mixing, packing, quality
 from logstrata.llm.registry import vocabulary_path
-from logstrata.scratch import materialize
+from logstrata.scratch import forget, materialize, passing
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,8 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over ``documents``; scratch tables and the results of earlier stages are deleted when nothing reads them any more."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        with passing(spark) as scratch:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            scratch.pop()
+        if written is not None:
+            forget(written)
+        written = docs
+    return docs
