@@ -205,7 +205,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
 def alike(least: float) -> Near:
     """Likeness of fingerprints, negative under ``least``."""
 
-    def near(payloads: list[bytes]) -> Closeness:
+    def near(payloads: list[bytes], keys: np.ndarray | None) -> Closeness:
         rows = np.frombuffer(b"".join(payloads), np.uint8).reshape(len(payloads), SAMPLES // 2)
 
         def close(i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Components of similarity links among members that share keys, with linear output.
 
 Members that share a key are candidates for each other. First every member is
-compared with one leader: the least of the leaders of its keys. The links found
+compared with the least member of each of its keys. The links found
 give components. Keys whose members still lie in several components then go
 through their pairs of different components, block by block within tasks:
 
@@ -10,7 +10,7 @@ through their pairs of different components, block by block within tasks:
   has members;
 * where ``near`` is a bound that a pair must pass, a task returns the ``most``
   closest candidates of each member. They are verified, components grow, and
-  rounds with eight times as many go on until no member had more to offer.
+  rounds with many times as many go on until no member had more to offer.
 
 So every pair that shares a key ends up in one component or refuted, nothing is
 capped, and what tasks return grows with the members, not with their pairs. A task
@@ -33,9 +33,12 @@ from .graph import components
 BLOCK = 2048
 #: Members up to which a key's pairs are listed together with those of other keys; pairs looked at at a time; pairs verified between two looks at the components.
 SMALL, PAIRS, STEP = 24, 1 << 17, 4096
-#: near(payloads)(i, j): closeness of payloads i and j, negative where they cannot be linked.
+#: Candidates of a member in the first round.
+MOST = 4
+#: near(payloads, keys)(i, j): closeness of payloads i and j, negative where they cannot be linked.
+#: Given the keys of the rows, it may leave out pairs that another key which they share will bring.
 Closeness = Callable[[np.ndarray, np.ndarray], np.ndarray]
-Near = Callable[[list[bytes]], Closeness]
+Near = Callable[[list[bytes], np.ndarray | None], Closeness]
 
 
 def _with(pairs: DataFrame, payloads: DataFrame, name: str) -> DataFrame:
@@ -50,7 +53,7 @@ def _paired(pairs: DataFrame, payloads: DataFrame, near: Near) -> DataFrame:
             for start in range(0, batch.num_rows, STEP):
                 part = batch.slice(start, STEP)
                 n = part.num_rows
-                close = near(part.column("payload_a").to_pylist() + part.column("payload_b").to_pylist())
+                close = near(part.column("payload_a").to_pylist() + part.column("payload_b").to_pylist(), None)
                 good = close(np.arange(n), np.arange(n) + n) >= 0
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
@@ -138,7 +141,7 @@ def _compare(rows: DataFrame, near: Near, most: int | None) -> DataFrame:
 
     def joining(table: pa.Table, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("lefts", "rights"))
-        parts, close = _Parts(table.column("component").to_numpy()), near(table.column("payload").to_pylist())
+        parts, close = _Parts(table.column("component").to_numpy()), near(table.column("payload").to_pylist(), table.column("key").to_numpy())
         for i, j in _pairs(first, table.num_rows, left, right):
             apart = parts.roots(i) != parts.roots(j)
             i, j = i[apart], j[apart]
@@ -152,7 +155,7 @@ def _compare(rows: DataFrame, near: Near, most: int | None) -> DataFrame:
 
     def closest(table: pa.Table, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("lefts", "rights"))
-        part, close = table.column("component").to_numpy(), near(table.column("payload").to_pylist())
+        part, close = table.column("component").to_numpy(), near(table.column("payload").to_pylist(), table.column("key").to_numpy())
         held: list[tuple[np.ndarray, ...]] = []
 
         def best(last: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -221,11 +224,11 @@ def joined_components(members: DataFrame, payloads: DataFrame, near: Near, verif
     (id, payload) of those; ``verify`` confirms candidates (a, b) that pass ``near``,
     if that is a bound and not exact.
     """
-    first = members.where("leader <> id").groupBy("id").agg(F.min("leader").alias("a")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+    first = members.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     tested = materialize(_paired(first, payloads, near), "tested")
     links = materialize(verify(tested), "links") if verify else tested
     found = components(links)
-    most = None if verify is None else 1
+    most = None if verify is None else MOST
     while (dealt := _blocks(members, found, payloads)) is not None:
         rows, scratch = dealt
         listed = materialize(_compare(rows, near, most).groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
@@ -239,5 +242,5 @@ def joined_components(members: DataFrame, payloads: DataFrame, near: Near, verif
             forget(older)
         if verify is None or not more:
             break
-        tested, most = tested.union(fresh), most * 8
+        tested, most = tested.union(fresh), most * 32
     return found

@@ -97,19 +97,25 @@ def table_key(table: Column, x: Column, y: Column, tables: int) -> Column:
     return h - F.pmod(h, F.lit(tables)) + table
 
 
-def maybe_alike(percent: int) -> Near:
-    """The similarity that two sketches still allow, negative if under ``percent``; never less than the true one."""
-
-    def near(payloads: list[bytes]) -> Closeness:
-        size = np.array([np.frombuffer(b, np.int64, 1)[0] for b in payloads], np.int64)
-        level = np.array([(len(b) - 8).bit_length() for b in payloads])
+def maybe_alike(percent: int, halves: int) -> Near:
+    """The similarity that two sketches still allow, negative if under ``percent``; never less than the true one.
+
+    A payload is 32 bits of each half-key, then the sketch, so a pair that shares
+    several tables is told by the first of them alone.
+    """
+    head = 8 * halves
+
+    def near(payloads: list[bytes], keys: np.ndarray | None) -> Closeness:
+        marks = np.frombuffer(b"".join([b[:head] for b in payloads]), np.uint32).reshape(len(payloads), 2 * halves)
+        size = np.array([np.frombuffer(b, np.int64, 1, head)[0] for b in payloads], np.int64)
+        level = np.array([(len(b) - head - 8).bit_length() for b in payloads])
         place = np.zeros(len(payloads), np.int64)
         below = np.zeros(len(payloads), np.int64)
         rows: dict[int, np.ndarray] = {}
         # Halves added bit by bit are the sketch of half as many buckets.
         for k in sorted(set(level.tolist()), reverse=True):
             own = np.flatnonzero(level == k)
-            bits = np.frombuffer(b"".join([payloads[i][8:] for i in own]), np.uint64).reshape(len(own), -1)
+            bits = np.frombuffer(b"".join([payloads[i][head + 8 :] for i in own]), np.uint64).reshape(len(own), -1)
             before = rows.get(k)
             place[own] = np.arange(len(own)) + (0 if before is None else len(before))
             rows[k] = bits if before is None else np.concatenate([before, bits])
@@ -133,6 +139,10 @@ def maybe_alike(percent: int) -> Near:
                     apart = np.bitwise_count(table[u] ^ table[v]).sum(axis=1, dtype=np.int64)
                     total = size[x] + size[y]
                     good = (100 - percent) * total >= (100 + percent) * apart
+                    if keys is not None:
+                        hit = np.flatnonzero(good)
+                        same = marks[x[hit]] == marks[y[hit]]
+                        good[hit] = same[:, :halves].argmax(axis=1) * halves + same[:, halves:].argmax(axis=1) == keys[x[hit]] % (halves * halves)
                     out[part] = np.where(good, (total - apart) / np.maximum(total + apart, 1), -1.0)
             return out
 
@@ -161,7 +171,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, halves: int = HALVES, ro
                 own = [sets[i] for i in some]
                 keys[some] = half_keys(own, halves, rows)
                 for i, blob in zip(some.tolist(), sketches(own), strict=True):
-                    shown[i] = blob
+                    shown[i] = keys[i].astype(np.uint64).astype(np.uint32).tobytes() + blob
                 identity[:, some] = _identities(own)
             edge = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * halves)
             lists = [pa.ListArray.from_arrays(edge, pa.array(np.ascontiguousarray(part).reshape(-1))) for part in (keys[:, :halves], keys[:, halves:])]
@@ -232,15 +242,7 @@ def _grouped(docs: DataFrame, shingle: int, halves: int, rows: int, percent: int
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Full sets, from the texts of one document of each class."""
-        chosen = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(names, "id")
-        texts_of = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text")).where("text is not null")
-        shown = texts_of.join(chosen.select("rep").distinct(), "rep", "left_semi").distinct()
-        shown = materialize(shown.join(chosen, "rep").select("id", "s1", "s2", "text").mapInArrow(own_text, "id long, text string"), "texts")
-        # Rows that differ in case or spaces have one set; one of them is enough.
-        shown_once = materialize(shown.groupBy("id").agg(F.min("text").alias("text")), "texts")
-        good = materialize(_verified(pairs, shown_once, shingle, percent).where("linked").select("a", "b"), "verified")
-        forget(shown, shown_once)
-        return good
+        return _verified(pairs, shown, shingle, percent).where("linked").select("a", "b")
 
     def own_text(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the texts that share a document id, those of the class."""
@@ -249,7 +251,14 @@ def _grouped(docs: DataFrame, shingle: int, halves: int, rows: int, percent: int
             good = (ours[0] == batch.column("s1").to_numpy()) & (ours[1] == batch.column("s2").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text")], ["id", "text"]).filter(pa.array(good))
 
-    found = joined_components(members, payloads, maybe_alike(percent), verify)
+    # The texts of candidates are picked once, one of each class: texts that differ in case or spaces have one set.
+    chosen = wanted.join(names, "id")
+    texts_of = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text")).where("text is not null")
+    picked = texts_of.join(chosen.hint("shuffle_hash"), "rep").select("id", "s1", "s2", "text")
+    picked = materialize(picked.mapInArrow(own_text, "id long, text string"), "texts")
+    shown = materialize(picked.groupBy("id").agg(F.min("text").alias("text")), "texts") if picked.count() > payloads.count() else picked
+    found = joined_components(members, payloads, maybe_alike(percent, halves), verify)
+    forget(picked, shown)
     # The least document id of each component; the component of a third of the classes is split by the joins.
     placed = names.join(found, F.col("id") == F.col("node"), "left").select("s1", "s2", "rep", F.coalesce("component", "id").alias("part"))
     placed = materialize(placed, "placed")

@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from logstrata.llm import editprint, leaders, linejoin, minhash, mixing, substring, textkit
+from logstrata.llm import editprint, graph, leaders, linejoin, minhash, mixing, substring, textkit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -124,6 +124,16 @@ def test_lost_leader_links_are_found(make_docs):
     assert found == {d: part.get(d, d) for d in sets}
 
 
+@pytest.mark.parametrize("few", [0, 40, 1 << 20])
+def test_components_of_chains_and_stars(spark, few):
+    rng = random.Random(1)
+    links = [(k, k + 1) for k in range(0, 300) if k % 60] + [(5000, 5000 + k) for k in range(200)] + [(rng.randrange(10**6, 10**6 + 300), rng.randrange(10**6, 10**6 + 300)) for _ in range(200)] + [(7, 7), (-5, 3)]
+    part = components([p for p in links if p[0] != p[1]])
+    found = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "x long, y long"), few).collect()}
+    assert found == part
+    assert graph.components(spark.createDataFrame([], "x long, y long"), few).collect() == []
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
