@@ -5,11 +5,17 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from logstrata.plans import investigation, scenario, tools
+from logstrata.plans.runtime import plugged
+
+
+#: Rows of a list that are printed; the answer says how many there are.
+LISTED = 128
 
 
 def parser() -> argparse.ArgumentParser:
@@ -38,6 +44,8 @@ def parser() -> argparse.ArgumentParser:
     for name in ("verify", "run", "explain"):
         verbs.add_parser(name).add_argument("document")
     verbs.choices["run"].add_argument("--output")
+    verbs.choices["run"].add_argument("--allow-live", action="store_true")
+    verbs.choices["run"].add_argument("--allow-actions", action="store_true")
     state = verbs.add_parser("investigation")
     state.add_argument("action", choices=["create", "show", "hypothesis", "stop", "gaps", "timeline"])
     state.add_argument("state")
@@ -62,7 +70,8 @@ def _investigate(spark: SparkSession, args: argparse.Namespace) -> object:
         return state
     parts = investigation.tables(spark, state)
     rows = investigation.gaps(parts) if args.action == "gaps" else investigation.entries(parts)
-    return [r.asDict() for r in rows.limit(128).collect()]
+    shown, total = [r.asDict() for r in rows.limit(LISTED).collect()], rows.count()
+    return {"rows": shown, "total": total, "status": "partial" if total > len(shown) else "ok"}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -88,9 +97,10 @@ def main(argv: list[str] | None = None) -> int:
         case "verify":
             result = tools.verify(spark, json.loads(Path(args.document).read_text(encoding="utf-8")))
         case "run":
-            result = scenario.run(spark, scenario.load(args.document), args.output)
+            granted = replace(plugged(), allow_live=args.allow_live, allow_actions=args.allow_actions)
+            result = scenario.run(spark, scenario.load(args.document), args.output, granted)
         case "explain":
-            result = scenario.explain(scenario.load(args.document))
+            result = scenario.explain(scenario.load(args.document), plugged())
         case _:
             result = _investigate(spark, args)
     print(json.dumps(result, ensure_ascii=False, default=str))

@@ -23,6 +23,7 @@ from logstrata.sources import lines as L
 from logstrata.sources.registry import build_source
 
 from . import probe as P
+from .layouts import segmented
 
 # Most characters of an agent's answer and of a line in it.
 AGENT_CHARS, LINE_CHARS = 12_000, 1024
@@ -32,20 +33,22 @@ def envelope(operation: str, status: str, outcome: str = "not_assessed", **parts
     return {"schema_version": 1, "operation": operation, "status": status, "outcome": outcome, "evidence": [], "coverage": {}, "warnings": [], "next_queries": [], "data": {}} | parts
 
 
-def _source(spark: SparkSession, path: str, segmenter: str | dict[str, Any], glob: str, recursive: bool) -> tuple[DataFrame, DataFrame, str | dict[str, Any]]:
+def _source(spark: SparkSession, path: str, segmenter: str | dict[str, Any], glob: str, recursive: bool) -> tuple[DataFrame, DataFrame, Any]:
     lines = L.freeze(build_source(spark, {"type": "file", "path": path, "glob": glob, "recursive": recursive}))
-    kind = segmenter
-    if segmenter == "auto":
-        reports = list(P.probe(lines).values())
-        best = max(reports, key=lambda r: r.confidence, default=P.Report("rawtext"))
-        kind = best.config or ("jsonline" if best.recommended == "jsonline" else "rawtext")
-    return lines, segment.segment(lines, kind), kind
+    records, kind = segmented(lines, segmenter)
+    return lines, records, kind
+
+
+#: Lines that are digested together before the digests are.
+RUN = 4096
 
 
 def _digests(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """Digest per source over its numbered lines, so that archive members have one too."""
-    parts = F.sort_array(F.collect_list(F.struct("line_no", "line")))
-    return lines.groupBy("source_id").agg(F.sha2(F.array_join(F.transform(parts, lambda p: p["line"]), "\n"), 256).alias("sha256"))
+    """Digest per source over its numbered lines, so that archive members have one too: of runs of lines first, then of their digests in order."""
+    part = F.sort_array(F.collect_list(F.struct("line_no", "line")))
+    runs = lines.groupBy("source_id", F.floor((F.col("line_no") - 1) / RUN).alias("_run")).agg(F.sha2(F.array_join(F.transform(part, lambda p: p["line"]), "\n"), 256).alias("_digest"))
+    digests = F.sort_array(F.collect_list(F.struct("_run", "_digest")))
+    return runs.groupBy("source_id").agg(F.sha2(F.array_join(F.transform(digests, lambda p: p["_digest"]), "\n"), 256).alias("sha256"))
 
 
 def _moments(records: DataFrame, since: str | None, until: str | None) -> tuple[datetime | None, datetime | None]:
@@ -60,7 +63,8 @@ def probe(spark: SparkSession, path: str, *, glob: str = "*", recursive: bool =
     lines, records, kind = _source(spark, path, segmenter, glob, recursive)
     stats = aggregates.probe(lines).join(aggregates.time_range(records, "source_id"), "source_id").join(_digests(spark, lines), "source_id")
     rows = [r.asDict() for r in stats.orderBy("source_id").limit(context.MAX_POINTERS).collect()]
-    return envelope("probe", "ok", data={"sources": rows, "segmenter": kind})
+    total = lines.select("source_id").distinct().count()
+    return envelope("probe", "partial" if total > len(rows) else "ok", coverage={"sources": total, "shown": len(rows)}, data={"sources": rows, "segmenter": kind})
 
 
 def search(spark: SparkSession, path: str, query: str, *, regex: bool = False, segmenter: str | dict[str, Any] = "auto", span: str | None = None, since: str | None = None, until: str | None = None, fold: bool = False, max_evidence: int = context.AGENT_POINTERS, max_line_chars: int = LINE_CHARS, glob: str = "*", recursive: bool = False) -> dict[str, Any]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import subprocess
 import time
 from collections.abc import Callable
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from logstrata.functions.patterns import Matcher
 
 from . import archives
-from .lines import SourceError, lines_of, read_lines, resolve_paths
+from .lines import SourceError, lines_of, read_large, read_lines, resolve_paths
 
+#: Bytes from which a file is read by splits and not as one row.
+LARGE = 64 << 20
 Provider = Callable[[SparkSession, dict[str, Any]], DataFrame]
 _PROVIDERS: dict[str, Provider] = {}
 Step = Callable[[DataFrame, dict[str, Any]], DataFrame]
@@ -31,21 +34,33 @@ def register_provider(*names: str) -> Callable[[Provider], Provider]:
     return add
 
 
-def build_source(spark: SparkSession, spec: dict[str, Any]) -> DataFrame:
-    """Lines of the source that ``spec['type']`` names."""
+def is_live(spec: dict[str, Any]) -> bool:
+    """Whether a source runs a command."""
+    return str(spec.get("type", "file")).lower() in ("live", "command", "cmd")
+
+
+def build_source(spark: SparkSession, spec: dict[str, Any], allow_live: bool = False) -> DataFrame:
+    """Lines of the source that ``spec['type']`` names; a command runs only if the caller allows it, whatever the document says."""
     kind = str(spec.get("type", "file")).lower()
     if kind not in _PROVIDERS:
         raise SourceError(f"no source of type {kind!r}")
+    if is_live(spec) and not allow_live:
+        raise SourceError("live sources need leave from the program that runs them")
     return _PROVIDERS[kind](spark, spec)
 
 
 @register_provider("file", "static", "path", "dir")
 def _files(spark: SparkSession, spec: dict[str, Any]) -> DataFrame:
     paths = resolve_paths(spark, spec["path"], spec.get("glob", "*"), bool(spec.get("recursive", False)))
-    heads = spark.read.format("binaryFile").load(paths).select("path", F.substring("content", 1, 512).alias("head"))
-    packed = [r["path"] for r in heads.toLocalIterator() if archives.is_archive(bytes(r["head"]))]
-    plain = [p for p in paths if p not in set(packed)]
-    frames = [read_lines(spark, plain, spec.get("encoding", "utf-8"))] if plain else []
+    heads = {p: head_of(spark, p) for p in paths}
+    packed = [p for p, (head, _) in heads.items() if archives.is_archive(head)]
+    encoding = spec.get("encoding", "utf-8")
+    splittable = encoding.lower().replace("-", "") == "utf8"
+    large = [p for p, (_, size) in heads.items() if size >= LARGE and splittable and p not in set(packed)]
+    plain = [p for p in paths if p not in {*packed, *large}]
+    frames = [read_lines(spark, plain, encoding)] if plain else []
+    if large:
+        frames.append(read_large(spark, large))
     if packed:
         frames.append(_archive_lines(spark, packed))
     out = frames[0]
@@ -54,6 +69,21 @@ def _files(spark: SparkSession, spec: dict[str, Any]) -> DataFrame:
     return out
 
 
+def head_of(spark: SparkSession, path: str, size: int = 512) -> tuple[bytes, int]:
+    """(first bytes, length) of a file in any store that Spark reads; nothing else of it is read."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    length = fs.getFileStatus(place).getLen()
+    held = spark.sparkContext._gateway.new_array(jvm.byte, min(size, int(length)))
+    stream = fs.open(place)
+    try:
+        stream.readFully(0, held)
+    finally:
+        stream.close()
+    return base64.b64decode(jvm.java.util.Base64.getEncoder().encodeToString(held)), int(length)
+
+
 @register_provider("archive")
 def _archive(spark: SparkSession, spec: dict[str, Any]) -> DataFrame:
     return _archive_lines(spark, resolve_paths(spark, spec["path"]))
@@ -66,14 +96,12 @@ def _archive_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 @register_provider("live", "command", "cmd")
 def _live(spark: SparkSession, spec: dict[str, Any]) -> DataFrame:
-    path = capture(spec["cmd"], spec["output_path"], float(spec.get("duration", 30)), bool(spec.get("allowed", False)))
+    path = capture(spec["cmd"], spec["output_path"], float(spec.get("duration", 30)))
     return read_lines(spark, f"file://{path}")
 
 
-def capture(command: list[str], output: str, seconds: float, allowed: bool, grace: float = 3.0) -> str:
-    """Run an argument list for a while, its output to a file, then stop it and freeze the file. Needs leave."""
-    if not allowed:
-        raise SourceError("live sources need leave (allowed: true)")
+def capture(command: list[str], output: str, seconds: float, grace: float = 3.0) -> str:
+    """Run an argument list for a while, its output to a file, then stop it and freeze the file."""
     target = Path(output).resolve()
     target.parent.mkdir(parents=True, exist_ok=True)
     with target.open("wb") as file:
@@ -119,8 +147,16 @@ def _grep(lines: DataFrame, spec: dict[str, Any]) -> DataFrame:
 
 @register_step("charset")
 def _charset(lines: DataFrame, spec: dict[str, Any]) -> DataFrame:
-    """Lines whose bytes were read in one encoding, read in another."""
-    return lines.withColumn("line", F.decode(F.encode("line", spec.get("from", "ISO-8859-1")), spec.get("to", "UTF-8")))
+    """Charsets are settled where bytes are read; see ``with_charset``."""
+    raise SourceError("charset must be the first step of a file source")
+
+
+def with_charset(spec: dict[str, Any]) -> tuple[dict[str, Any], list[dict[str, Any]]]:
+    """(source, other steps): a leading charset step becomes the encoding that the source's bytes are decoded by."""
+    steps = list(spec.get("preprocess") or [])
+    if steps and steps[0].get("action") == "charset":
+        return spec | {"encoding": steps[0].get("from", "ISO-8859-1")}, steps[1:]
+    return spec, steps
 
 
 def append_segment(catalogue: DataFrame, segment: dict[str, Any]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from logstrata.plans import investigation as I
 from logstrata.plans import knowledge, probe, scenario, tools
+from logstrata.plans.runtime import Runtime
 from logstrata.sources import archives, lines, registry, sinks
 from logstrata.streaming import live
 
@@ -84,20 +85,83 @@ def test_overviews(spark, log):
     assert next(iter(tools.probe_format(spark, log)["data"].values()))["recommended"] == "format"
 
 
+def spec_of(log, rules=(), **parts):
+    return {"schema_version": 2, "name": "errors", "source": {"path": log}, "filter": {"grep": "ERROR"}, "assert": {"rules": list(rules)}} | parts
+
+
 def test_scenarios(spark, log, tmp_path):
-    spec = {"schema_version": 2, "name": "errors", "source": {"path": log}, "parse": {"segmenter": "rawtext"}, "filter": {"grep": "ERROR"}, "assertions": [{"type": "count", "match": "ERROR", "exact": 4}, {"type": "absent", "match": "FATAL"}, {"type": "contains", "pattern": "request"}]}
+    rules = [{"type": "count", "match": "ERROR", "exact": 4}, {"type": "absent", "match": "FATAL"}, {"type": "contains", "match": "request"}, {"type": "sequence", "events": ["request 5", "request 10"], "within": "5s"}]
+    spec = spec_of(log, rules)
     out = scenario.run(spark, spec, str(tmp_path / "out"))
-    assert out["data"]["verdict"] == "passed" and out["outcome"] == "supported"
+    assert out["data"]["verdict"] == "passed" and out["outcome"] == "supported" and out["data"]["segmenter"]["type"] == "format"
     assert json.loads((tmp_path / "out/manifest.json").read_text())["verdict"] == "passed" and "passed" in (tmp_path / "out/report.md").read_text()
-    assert scenario.run(spark, spec | {"assertions": [{"type": "absent", "match": "ERROR"}]})["data"]["verdict"] == "failed"
-    assert scenario.run(spark, spec | {"source": {"path": log + ".none"}})["status"] == "error"
-    assert scenario.run(spark, spec | {"assertions": []})["outcome"] == "not_assessed"
+    assert scenario.run(spark, spec_of(log, [{"type": "absent", "match": "ERROR"}]))["data"]["verdict"] == "failed"
+    assert scenario.run(spark, spec_of(log, [{"type": "before", "first": "request 10", "then": "request 5"}]))["data"]["verdict"] == "failed"
+    assert scenario.run(spark, spec_of(log + ".none"))["status"] == "error"
+    assert scenario.run(spark, spec_of(log))["outcome"] == "not_assessed"
     assert scenario.explain(spec)[0].startswith("read file")
-    for bad in (spec | {"extra": 1}, spec | {"schema_version": 1}, spec | {"assertions": [{"type": "x"}]}, {"schema_version": 2}):
+    for bad in (spec | {"extra": 1}, spec | {"schema_version": 1}, spec_of(log, [{"type": "x"}]), {"schema_version": 2}, spec | {"filter": {"preset": "unknown"}}, spec | {"filter": {}}, spec | {"filter": {"grep": "x", "sincee": "1"}}):
         with pytest.raises(scenario.ScenarioError):
             scenario.validate(bad)
 
 
+def test_scenario_scopes_stages_and_presets(spark, log):
+    runtime = Runtime(presets={"warm": ("INFO", "tag")}, assertions={"few": lambda rule, events: events.limit(3).count()})
+    scoped = scenario.run(spark, spec_of(log, filter={"grep": "request", "since": "03:04:15"}))["data"]
+    assert scoped["scoped_records"] == scoped["matched_records"] == 5
+    assert scenario.run(spark, spec_of(log, filter={"grep": "request", "until": "2024-01-02 03:04:03", "line_from": 2}))["data"]["matched_records"] == 3
+    staged = scenario.run(spark, spec_of(log, [{"type": "few", "max": 3}], filter={"last": "9s", "stages": [{"name": "a", "preset": "warm"}, {"grep": "ERROR", "preset": "warm"}]}), runtime=runtime)["data"]
+    assert [s["matched_records"] for s in staged["stages"]] == [8, 10] and staged["verdict"] == "passed"
+    with pytest.raises(scenario.ScenarioError):
+        scenario.run(spark, spec_of(log, filter={"preset": "cold"}), runtime=runtime)
+
+
+def test_scenario_assertions_of_each_source(spark, tmp_path):
+    for name, layout, word in (("a", LAYOUTS[0], "ERROR"), ("b", LAYOUTS[4], "ERROR"), ("c", LAYOUTS[7], "fine")):
+        (tmp_path / f"{name}.log").write_text("".join(f"{t.strftime(layout)} {word} {t.day}\n  more\n" for t in TIMES[:12]), encoding="utf-8")
+    rules = [{"name": "some", "type": "count", "match": "error", "min": 1}]
+    out = {scope: scenario.run(spark, spec_of(f"file://{tmp_path}", rules, **{"assert": {"scope": scope, "ignore_case": True, "rules": rules}}))["data"] for scope in scenario.SCOPES}
+    assert [out[s]["verdict"] for s in ("aggregate", "per_source", "both")] == ["passed", "failed", "failed"]
+    assert [r["satisfied"] for r in out["both"]["assertions"]["per_source"]] == [True, True, False]
+    # Every source was cut by its own layout.
+    assert out["aggregate"]["scoped_records"] == 36 and len(out["aggregate"]["segmenter"]) == 3
+    assert tools.search(spark, f"file://{tmp_path}", "ERROR")["data"]["matched_records"] == 24
+
+
+def test_only_the_runtime_gives_leave(spark, log, tmp_path):
+    live = {"type": "live", "cmd": [sys.executable, "-c", "print('ERROR here')"], "output_path": str(tmp_path / "said")}
+    with pytest.raises(scenario.ScenarioError):
+        scenario.run(spark, spec_of(log, source=live))
+    assert scenario.run(spark, spec_of(log, source=live), runtime=Runtime(allow_live=True))["data"]["matched_records"] == 1
+    write = {"name": "note", "run": [sys.executable, "-c", "import os; open(os.environ['LOGSTRATA_OUTPUT_DIR'] + '/x', 'w')"]}
+    with pytest.raises(scenario.ScenarioError):
+        scenario.run(spark, spec_of(log, actions=[write]))
+    allowed = Runtime(allow_actions=True)
+    runs = [scenario.run(spark, spec_of(log, actions=[write | more]), str(tmp_path / f"o{i}"), allowed)["data"] for i, more in enumerate(({"outputs": ["x"]}, {}, {"outputs": ["x", "y"]}))]
+    assert [r["verdict"] for r in runs] == ["passed", "failed", "failed"]
+
+
+def test_format_self_check(spark, log):
+    wrong = {"type": "format", "start": r"^(?P<ts>\d{4}/\d{2}/\d{2})"}
+    out = scenario.run(spark, spec_of(log, parse={"segmenter": wrong}))
+    assert any("20 of 20" in w for w in out["warnings"])
+
+
+def test_charset_and_large_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "latin.log").write_bytes("na\xefve ERROR\n".encode("latin-1"))
+    source = {"path": f"file://{tmp_path}/latin.log", "preprocess": [{"action": "charset", "from": "ISO-8859-1"}]}
+    assert scenario.run(spark, spec_of("", filter={"grep": "na\xefve"}, source=source))["data"]["matched_records"] == 1
+    (tmp_path / "big.log").write_text("".join(f"line {i}\n" for i in range(5000)), encoding="utf-8")
+    monkeypatch.setattr(registry, "LARGE", 1000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        found = registry.build_source(spark, {"path": f"file://{tmp_path}/big.log"})
+        assert found.rdd.getNumPartitions() > 1
+        assert sorted((r.line_no, r.line) for r in found.collect()) == [(i + 1, f"line {i}") for i in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_large_files_are_numbered_across_splits(spark, tmp_path):
     path = tmp_path / "big.txt"
     path.write_text("".join(f"{i} {'x' * 80}\n" for i in range(1, 4001)))
@@ -149,7 +213,7 @@ def test_sources_and_steps(spark, tmp_path):
         lines.resolve_paths(spark, f"file://{tmp_path}/none*")
     with pytest.raises(lines.SourceError):
         registry.build_source(spark, {"type": "live", "cmd": ["true"], "output_path": str(tmp_path / "o")})
-    live_lines = registry.build_source(spark, {"type": "live", "cmd": [sys.executable, "-c", "print('hi')"], "output_path": str(tmp_path / "o"), "allowed": True})
+    live_lines = registry.build_source(spark, {"type": "live", "cmd": [sys.executable, "-c", "print('hi')"], "output_path": str(tmp_path / "o")}, allow_live=True)
     assert [r.line for r in live_lines.collect()] == ["hi"]
 
 
