@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logstrata.functions import text as T
-from logstrata.functions.patterns import Component, Matcher
+from logstrata.functions.patterns import Component, Matcher, from_terms
 from logstrata.operators import aggregates, compare, context, events, filters, sampling, segment, timeline
 from logstrata.plans import governance
 from logstrata.scratch import with_rank
@@ -367,17 +367,18 @@ def expand_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.expand(_lines(spark, sf_dir), context.windows(_marks(spark, sf_dir), 1, 1))
 
 
-@query("""SELECT 0 AS source_index, 'events' AS label, ts, event_id AS ord, '[events] ' || event_type AS text FROM events
-UNION ALL SELECT 1, 'orders', o_orderdate, o_orderkey, '[orders] ' || o_orderstatus FROM orders""")
+@query("""SELECT *, row_number() OVER (ORDER BY ts NULLS FIRST, source_index, ord) - 1 AS position FROM (
+SELECT 0 AS source_index, 'events' AS label, ts, event_id AS ord, '[events] ' || event_type AS text FROM events
+UNION ALL SELECT 1, 'orders', o_orderdate, o_orderkey, '[orders] ' || o_orderstatus FROM orders)""")
 def merged_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = _table(spark, sf_dir, "events").select("ts", F.col("event_id").alias("ord"), F.col("event_type").alias("text"))
     placed = _table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("text"))
-    return timeline.merged([("events", seen), ("orders", placed)])
+    return timeline.positions(timeline.merged([("events", seen), ("orders", placed)]))
 
 
-@query("SELECT event_id, ts, event_type FROM events ORDER BY ts NULLS LAST, event_id")
+@query("SELECT event_id, ts, event_type, row_number() OVER (ORDER BY ts NULLS LAST, event_id) - 1 AS position FROM events")
 def events_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.in_order(_table(spark, sf_dir, "events").select("event_id", "ts", "event_type"))
+    return timeline.positions(timeline.in_order(_table(spark, sf_dir, "events").select("event_id", "ts", "event_type")))
 
 
 @query("""SELECT event_id, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN '' ELSE event_type END AS shown_label FROM events""")
@@ -443,28 +444,28 @@ def event_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' WHEN a.o_orderstatus IS DISTINCT FROM b.o_orderstatus THEN 'changed' ELSE 'same' END AS change,
   CASE WHEN a.o_orderkey IS NOT NULL AND b.o_orderkey IS NOT NULL AND a.o_orderstatus IS DISTINCT FROM b.o_orderstatus THEN 'o_orderstatus' ELSE '' END AS fields
-FROM (SELECT * FROM orders WHERE o_orderkey % 5 <> 0) a FULL JOIN (SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 7 <> 0) b ON a.o_orderkey = b.o_orderkey""")
+FROM (SELECT * FROM orders WHERE o_orderdate < DATE '1997-07-01') a FULL JOIN (SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderdate >= DATE '1993-01-01') b ON a.o_orderkey = b.o_orderkey""")
 def compare_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two versions of the orders: either lacks some, and some statuses changed."""
+    """Two versions of the orders: the older lacks late ones, the newer dropped early ones, and some statuses changed; every order is in one of them."""
     old, new = _versions(spark, sf_dir)
     return compare.changes(old, new, ["o_orderkey"], ["o_orderstatus", "o_totalprice"])
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return rows.where("o_orderkey % 5 <> 0"), rows.where("o_orderkey % 7 <> 0").withColumn("o_orderstatus", F.when(F.col("o_totalprice") > 200000, "X").otherwise(F.col("o_orderstatus")))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    return rows.where("o_orderdate < DATE '1997-07-01'"), rows.where("o_orderdate >= DATE '1993-01-01'").withColumn("o_orderstatus", F.when(F.col("o_totalprice") > 200000, "X").otherwise(F.col("o_orderstatus")))
 
 
-@query("SELECT o_orderkey, o_orderstatus AS was, 'X' AS now FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_totalprice > 200000 AND o_orderstatus <> 'X'")
+@query("SELECT o_orderkey, o_orderstatus AS was, 'X' AS now FROM orders WHERE o_orderdate < DATE '1997-07-01' AND o_orderdate >= DATE '1993-01-01' AND o_totalprice > 200000 AND o_orderstatus <> 'X'")
 def outcome_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _versions(spark, sf_dir)
     return compare.transitions(old, new, ["o_orderkey"], "o_orderstatus")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def untested_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as hypotheses, orders as their tests."""
-    return compare.without(_table(spark, sf_dir, "customer").select("c_custkey"), _table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    """Customers as hypotheses, pending orders as their tests."""
+    return compare.without(_table(spark, sf_dir, "customer").select("c_custkey"), _table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
@@ -473,10 +474,11 @@ def unresolved_with_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.having(_table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey"), flagged, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderdate < DATE '1997-07-01')")
 def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Referential integrity: must be empty."""
-    return compare.without(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), _table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """References into the older version of the orders that it lacks."""
+    old, _ = _versions(spark, sf_dir)
+    return compare.without(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), old, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 @query("SELECT source, min(doc_id) AS position FROM documents GROUP BY source")
@@ -519,6 +521,18 @@ def evidence_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.pointers(found, F.sha2("text", 256)).select("source_id", "uri")
 
 
+VOCABULARY_TERMS = tuple(dict.fromkeys(a + b + c for a in ("th", "an", "er", "on") for b in ("e", "in", "tion", "ed", "a") for c in ("", "d", "s", " th", "an", "ly", "re", ".", "er", "st")))
+
+
+@query(
+    "WITH t(term) AS (VALUES " + ", ".join(f"('{t}')" for t in VOCABULARY_TERMS) + ") SELECT doc_id, list_sort(list(term)) AS terms, arg_min(term, (strpos(text, term) + length(term)) * 1000 - length(term)) AS term FROM documents JOIN t ON contains(text, term) GROUP BY doc_id"
+)
+def vocabulary_200(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hundred literal terms: all that occur, and the one that ends first."""
+    rows = _documents(spark, sf_dir)
+    return filters.hits(filters.filter_text(rows, from_terms(VOCABULARY_TERMS))).select(F.col("source_id").alias("doc_id"), "terms", "term")
+
+
 @query("SELECT event_id, substring(sha1(concat_ws('|', strftime(ts, '%Y-%m-%dT%H:%M:%S'), event_type, user_id, props)), 1, 16) AS stable_id FROM events")
 def event_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "events")

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,6 +182,38 @@ def first_term(text: Column, terms: Sequence[str]) -> Column:
     return F.array_min(F.array_compact(F.array(*ends)))["term"]
 
 
+#: Terms from which a vocabulary is searched by an automaton, one pass over a text however many there are.
+VOCABULARY = 24
+
+
+@lru_cache(maxsize=8)
+def _automaton(terms: tuple[str, ...]) -> Any:
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for place, term in enumerate(terms):
+        made.add_word(term, place)
+    made.make_automaton()
+    return made
+
+
+def vocabulary_hits(text: Column, terms: Sequence[str]) -> Column:
+    """struct(terms that occur, sorted; first: the one whose first occurrence ends first, the longest of those that end together), in Arrow batches."""
+    words = tuple(sorted(set(terms)))
+
+    def search(column: pd.Series) -> pd.DataFrame:
+        automaton, found, first = _automaton(words), [], []
+        for value in column:
+            least: dict[int, int] = {}
+            for end, place in automaton.iter(value) if value else ():
+                least.setdefault(place, end)
+            found.append([words[place] for place in sorted(least)])
+            first.append(words[min(least, key=lambda p: (least[p], -len(words[p])))] if least else None)
+        return pd.DataFrame({"terms": found, "first": first})
+
+    return F.pandas_udf(search, "terms array<string>, first string")(text)
+
+
 def unique_terms(terms: Iterable[str]) -> list[str]:
     return list(dict.fromkeys(terms))
 
@@ -212,8 +245,15 @@ class Matcher:
     def terms(self) -> list[str] | None:
         return literals(self.pattern)
 
+    def vocabulary(self) -> list[str] | None:
+        """The terms, if there are many of them."""
+        terms = unique_terms(self.terms or ())
+        return terms if len(terms) >= VOCABULARY else None
+
     def matched(self, text: Column) -> Column:
         terms = self.terms
+        if many := self.vocabulary():
+            return F.coalesce(F.size(vocabulary_hits(text, many)["terms"]) > 0, F.lit(False))
         return any_literal(text, unique_terms(terms)) if terms else F.coalesce(text.rlike(to_java(self.pattern)), F.lit(False))
 
     def first(self, text: Column) -> Column:

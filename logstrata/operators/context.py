@@ -36,8 +36,9 @@ def windows(marks: DataFrame, before: int, after: int) -> DataFrame:
 
 
 def expand(lines: DataFrame, spans: DataFrame) -> DataFrame:
-    """The lines of windows, each rendered with its number; an equality join on the source keeps it from a nested loop."""
-    return lines.join(spans, "source_id").where(F.col("line_no").between(F.col("lo"), F.col("hi"))).select("source_id", "island", "line_no", F.concat(F.col("line_no").cast("string"), F.lit(": "), "line").alias("rendered"))
+    """The lines of windows, each rendered with its number; windows of a source are disjoint, so their line numbers join one to one."""
+    wanted = spans.select("source_id", "island", F.explode(F.sequence("lo", "hi")).alias("line_no"))
+    return lines.join(wanted, ["source_id", "line_no"]).select("source_id", "island", "line_no", F.concat(F.col("line_no").cast("string"), F.lit(": "), "line").alias("rendered"))
 
 
 def within_budget(expanded: DataFrame, chars: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logstrata.functions import text as T
 from logstrata.functions import times
-from logstrata.functions.patterns import Component, Matcher, combine
+from logstrata.functions.patterns import Component, Matcher, combine, vocabulary_hits
 
 
 def in_lines(first: int | None = None, last: int | None = None) -> Column:
@@ -62,7 +62,11 @@ def of_process(pid: str) -> Column:
 def match(records: DataFrame, matcher: Matcher) -> DataFrame:
     """All records with ``matched``, the first term, all terms, matched_by and hit_lines."""
     text = F.col("text")
-    found = records.withColumns({"matched": matcher.matched(text), "term": matcher.first(text), "terms": matcher.all(text)})
+    if many := matcher.vocabulary():
+        hits = records.withColumn("_hits", vocabulary_hits(text, many))
+        found = hits.withColumns({"matched": F.size("_hits.terms") > 0, "term": F.col("_hits.first"), "terms": F.col("_hits.terms")}).drop("_hits")
+    else:
+        found = records.withColumns({"matched": matcher.matched(text), "term": matcher.first(text), "terms": matcher.all(text)})
     return found.withColumns({"matched_by": F.when(F.col("matched"), matcher.matched_by(text)), "hit_lines": F.when(F.col("term").isNotNull(), T.hit_lines(text, F.col("start_line"), F.col("term")))})
 
 
