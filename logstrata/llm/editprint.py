@@ -239,9 +239,9 @@ def near_groups(docs: DataFrame, least: float = 0.7, bands: int = 32) -> DataFra
     wide = SAMPLES // 2 // bands
     bandwise = F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("payload", b * wide + 1, wide)) for b in range(bands)]))
     keys = prints.select(bandwise.alias("key"), "id")
-    led = materialize(keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader"), "bands")
+    led = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "bands")
     members = materialize(keys.join(led, "key"), "band-members")
-    found = joined_components(members, prints, alike(least))
+    found = joined_components(members, prints, alike(least), lambda pairs: pairs)
     named = rows.select("doc_id", "id").join(found, F.col("id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "id").alias("part"))
     named = materialize(named, "prints-named")
     return named.join(materialize(named.groupBy("part").agg(F.min("doc_id").alias("component_id")), "prints-least"), "part").select("doc_id", "component_id")

@@ -1,16 +1,13 @@
 """Components of similarity links among members that share keys, with linear output.
 
 Members that share a key are candidates for each other. First every member is
-compared with the least member of each of its keys. The links found
-give components. Keys whose members still lie in several components then go
-through their pairs of different components, block by block within tasks:
-
-* where ``near`` is exact, a task joins components as it finds links, skips pairs
-  that it has joined already, and returns the links that joined: fewer than it
-  has members;
-* where ``near`` is a bound that a pair must pass, a task returns the ``most``
-  closest candidates of each member. They are verified, components grow, and
-  rounds with many times as many go on until no member had more to offer.
+compared with one leader of each of its keys: the member whose own keys hold the most
+members, which in a group of near copies is the text that they are copies of. The
+links found give components. Keys whose members still lie in several components then
+go through their pairs of different components, block by block within tasks, by
+payloads that bound the likeness: a task returns the ``most`` closest candidates of
+each member. They are verified, components grow, and rounds with many times as many
+go on until no member had more to offer.
 
 So every pair that shares a key ends up in one component or refuted, nothing is
 capped, and what tasks return grows with the members, not with their pairs. A task
@@ -23,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logstrata.scratch import forget, materialize, width
@@ -31,7 +28,7 @@ from logstrata.scratch import forget, materialize, width
 from .graph import components
 
 BLOCK = 2048
-#: Members up to which a key's pairs are listed together with those of other keys; pairs looked at at a time; pairs verified between two looks at the components.
+#: Members up to which a key's pairs are listed together with those of other keys; pairs looked at at a time; rows of a batch of pairs.
 SMALL, PAIRS, STEP = 24, 1 << 17, 4096
 #: Candidates of a member in the first round.
 MOST = 4
@@ -101,57 +98,11 @@ def _pairs(first: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> It
             yield np.repeat(some, len(rights)), np.tile(rights, len(some))
 
 
-class _Parts:
-    """Components of a table's rows, joined as links are found."""
-
-    def __init__(self, component: np.ndarray):
-        _, self.of = np.unique(component, return_inverse=True)
-        self.parent = np.arange(int(self.of.max(initial=-1)) + 1)
-
-    def roots(self, rows: np.ndarray) -> np.ndarray:
-        while True:
-            up = self.parent[self.parent]
-            if (up == self.parent).all():
-                return self.parent[self.of[rows]]
-            self.parent = up
-
-    def join(self, i: np.ndarray, j: np.ndarray) -> list[int]:
-        """Numbers of the links (i, j) that joined components."""
-        parent, out = self.parent, []
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for k, (x, y) in enumerate(zip(self.of[i].tolist(), self.of[j].tolist(), strict=True)):
-            x, y = find(x), find(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append(k)
-        return out
-
-
 _FOUND = "a long, b long, more boolean"
 
 
-def _compare(rows: DataFrame, near: Near, most: int | None) -> DataFrame:
-    """(a, b, more) of ``rows`` (key, i, j, id, component, lefts, rights, payload), sorted by (key, i, j); all joining links if ``most`` is None, else candidates."""
-
-    def joining(table: pa.Table, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("lefts", "rights"))
-        parts, close = _Parts(table.column("component").to_numpy()), near(table.column("payload").to_pylist(), table.column("key").to_numpy())
-        for i, j in _pairs(first, table.num_rows, left, right):
-            apart = parts.roots(i) != parts.roots(j)
-            i, j = i[apart], j[apart]
-            for s in range(0, len(i), STEP):
-                x, y = i[s : s + STEP], j[s : s + STEP]
-                apart = parts.roots(x) != parts.roots(y)
-                x, y = x[apart], y[apart]
-                good = close(x, y) >= 0
-                kept = parts.join(x[good], y[good])
-                yield x[good][kept], y[good][kept], False
+def _compare(rows: DataFrame, near: Near, most: int) -> DataFrame:
+    """(a, b, more): the closest candidates of each member on the left of ``rows`` (key, i, j, id, component, lefts, rights, payload)."""
 
     def closest(table: pa.Table, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("lefts", "rights"))
@@ -184,7 +135,7 @@ def _compare(rows: DataFrame, near: Near, most: int | None) -> DataFrame:
     def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first in runs(frames):
             ids = table.column("id").to_numpy()
-            for i, j, more in (joining if most is None else closest)(table, first):
+            for i, j, more in closest(table, first):
                 if len(i):
                     a, b = ids[i], ids[j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(i), more))], ["a", "b", "more"])
@@ -193,8 +144,8 @@ def _compare(rows: DataFrame, near: Near, most: int | None) -> DataFrame:
     return sorted_.mapInArrow(compare, _FOUND)
 
 
-def _blocks(members: DataFrame, found: DataFrame, payloads: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """(rows, the scratch table behind them): members of keys with several components, dealt to pairs of blocks: those outside their key's largest component on the left, all on the right."""
+def _blocks(members: DataFrame, found: DataFrame, payloads: DataFrame) -> DataFrame | None:
+    """Members of keys with several components, dealt to pairs of blocks: those outside their key's largest component on the left, all on the right."""
     placed = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
     spread = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("members")).where("parts > 1")
@@ -205,42 +156,53 @@ def _blocks(members: DataFrame, found: DataFrame, payloads: DataFrame) -> tuple[
         forget(mixed)
         return None
     rows = placed.join(mixed, "key").withColumn("outside", F.col("component") != F.col("largest")).withColumn("own", F.xxhash64(F.lit(9), "id"))
-    rows = materialize(rows.join(payloads, "id"), "mixed-members")
-    forget(mixed)
-    columns = ["key", "i", "j", "id", "component", "lefts", "rights", "payload"]
-    single = F.col("right_blocks") == 1
-    one = rows.where(single).withColumns({"i": F.lit(0), "j": F.lit(0), "lefts": F.col("outside"), "rights": F.lit(True)})
-    i, j = F.pmod("own", F.col("left_blocks")).cast("int"), F.pmod("own", F.col("right_blocks")).cast("int")
-    several = rows.where(~single)
-    right = several.withColumns({"j": j, "i": F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)), "lefts": F.lit(False), "rights": F.lit(True)})
-    left = several.where("outside").withColumns({"i": i, "j": F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1)), "lefts": F.lit(True), "rights": F.lit(False)})
-    return one.select(columns).union(right.select(columns)).union(left.select(columns)), rows
-
-
-def joined_components(members: DataFrame, payloads: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+
+    def place(i: Column, j: Column, lefts: Column, rights: bool) -> Column:
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), lefts.alias("lefts"), F.lit(rights).alias("rights"))
+
+    right = F.transform(F.sequence(F.lit(0), F.col("left_blocks") - 1), lambda i: place(i, F.pmod("own", F.col("right_blocks")), F.lit(False), True))
+    left = F.transform(F.sequence(F.lit(0), F.col("right_blocks") - 1), lambda j: place(F.pmod("own", F.col("left_blocks")), j, F.lit(True), False))
+    several = F.when(F.col("outside"), F.concat(right, left)).otherwise(right)
+    places = F.when(F.col("right_blocks") == 1, F.array(place(F.lit(0), F.lit(0), F.col("outside"), True))).otherwise(several)
+    dealt = rows.select("key", "id", "component", F.explode(places).alias("at")).select("key", "at.*", "id", "component")
+    return dealt.join(payloads, "id").select("key", "i", "j", "id", "component", "lefts", "rights", "payload")
+
+
+def _leaders(members: DataFrame) -> DataFrame:
+    """(a, b): every member with the leader of each of its keys."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    weight = materialize(members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("weight")), "weights")
+    led = members.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("leader")).select("key", F.col("leader.id").alias("a"))
+    led = materialize(led, "leaders")
+    pairs = materialize(members.join(led, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct(), "led")
+    forget(weight, led)
+    return pairs
+
+
+def joined_components(members: DataFrame, payloads: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) of all members that have links.
 
-    ``members``: (key, id, leader), of keys with several members; ``payloads``:
-    (id, payload) of those; ``verify`` confirms candidates (a, b) that pass ``near``,
-    if that is a bound and not exact.
+    ``members``: (key, id), of keys with several members, each once; ``payloads``:
+    (id, payload) of those; ``verify`` confirms candidates (a, b) that pass ``near``.
     """
-    first = members.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    first = _leaders(members)
     tested = materialize(_paired(first, payloads, near), "tested")
-    links = materialize(verify(tested), "links") if verify else tested
-    found = components(links)
-    most = None if verify is None else MOST
+    forget(first)
+    links = materialize(verify(tested), "links")
+    found, most = components(links), MOST
+    tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     while (dealt := _blocks(members, found, payloads)) is not None:
-        rows, scratch = dealt
-        listed = materialize(_compare(rows, near, most).groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
-        forget(scratch)
+        listed = materialize(_compare(dealt, near, most).groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
         more = not listed.where("more").isEmpty()
-        fresh = listed.select("a", "b") if verify is None else materialize(listed.select("a", "b").join(tested, ["a", "b"], "left_anti"), "tested")
-        new = materialize(verify(fresh), "links") if verify else fresh
+        fresh = materialize(listed.select("a", "b").join(tested, ["a", "b"], "left_anti"), "tested")
+        forget(listed)
+        new = materialize(verify(fresh), "links")
         if not new.isEmpty():
             links = links.union(new)
             older, found = found, components(links)
             forget(older)
-        if verify is None or not more:
+        if not more:
             break
         tested, most = tested.union(fresh), most * 32
+    forget(tested, links)
     return found

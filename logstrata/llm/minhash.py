@@ -204,7 +204,7 @@ def _verified(pairs: DataFrame, shown: DataFrame, shingle: int, percent: int) ->
 
 
 def _shared_keys(classes: DataFrame, halves: int) -> DataFrame:
-    """(key, id, leader) of the table keys that several classes hold; each part of the tables is written before the next is made."""
+    """(key, id) of the table keys that several classes hold; each part of the tables is written before the next is made."""
     parts = []
     for wave in range(min(WAVES, halves)):
         keys = (
@@ -213,7 +213,7 @@ def _shared_keys(classes: DataFrame, halves: int) -> DataFrame:
             .select("id", "i", "x", F.posexplode("b").alias("j", "y"))
             .select(table_key(F.col("i") * halves + F.col("j"), F.col("x"), F.col("y"), halves * halves).alias("key"), "id")
         )
-        led = materialize(keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader"), "tables")
+        led = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "tables")
         # Only keys with several classes; a hot key's side is split by the join.
         parts.append(materialize(keys.join(led, "key"), "members"))
         forget(led)
