@@ -1,9 +1,9 @@
 """Quality classifier by nearest-neighbour voting in a latent-semantic space.
 
-The terms of a text are the forms of its words (letter case, final mark, length,
-whether it repeats one of the two words before it) and pairs of neighbouring
-forms, hashed into ``TERMS`` columns, so that a score speaks of how a text is
-written and not of its topic or language. A bounded sample of labelled documents
+The terms of a text are its words, lower-cased and hashed into ``TERMS`` columns, and,
+in as many columns of their own, the forms of its words (letter case, final mark,
+length, whether it repeats one of the two words before it) and pairs of neighbouring
+forms: what a text says and how it is written weigh alike. A bounded sample of labelled documents
 (``PER_CLASS`` of either class) gives inverse document frequencies and, by a
 singular value decomposition, ``RANK`` latent directions; its latent vectors and
 labels are broadcast (PER_CLASS * 2 * RANK numbers at most). Every document, of
@@ -77,8 +77,17 @@ def forms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix64((case + 8 * last + 2048 * doubled + 4096 * again + 16384 * length).astype(_U)), first
 
 
+def word_counts(column: pa.Array, terms: int) -> np.ndarray:
+    """(texts, terms): how often each hashed word occurs."""
+    data, offsets = texts(column)
+    _, _, h, first = words(data, offsets, fold=True)
+    n = len(first) - 1
+    doc = np.repeat(np.arange(n), np.diff(first))
+    return np.bincount(doc * terms + (h % _U(terms)).astype(np.int64), minlength=n * terms).reshape(n, terms)
+
+
 def term_rates(column: pa.Array, terms: int = TERMS) -> np.ndarray:
-    """(texts, terms): square roots of the shares of hashed forms and pairs of forms."""
+    """(texts, 2 * terms): square roots of the shares of hashed forms and pairs of forms, then of hashed words."""
     form, first = forms(column)
     n = len(first) - 1
     doc = np.repeat(np.arange(n), np.diff(first))
@@ -88,8 +97,8 @@ def term_rates(column: pa.Array, terms: int = TERMS) -> np.ndarray:
             pair = mix64(form[:-1] * _U(3) + form[1:])
         same = doc[:-1] == doc[1:]
         out += np.bincount(doc[:-1][same] * terms + (pair[same] % _U(terms)).astype(np.int64), minlength=n * terms)
-    out = out.reshape(n, terms)
-    total = out.sum(axis=1, keepdims=True)
+    out = np.concatenate([out.reshape(n, terms), word_counts(column, terms)], axis=1)
+    total = np.repeat(out.reshape(n, 2, terms).sum(axis=2), terms, axis=1)
     return np.sqrt(out / np.maximum(total, 1)).astype(np.float32)
 
 
@@ -107,13 +116,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 
     rows = sample(docs, labels, label, per_class, ~held_out()).select("doc_id", "y", "text").mapInArrow(rates, "doc_id long, y int, rates binary").toPandas().sort_values("doc_id")
     y = rows["y"].to_numpy(np.float64)
-    x = np.frombuffer(b"".join(rows["rates"]), np.float32).reshape(len(rows), terms).astype(np.float64)
+    x = np.frombuffer(b"".join(rows["rates"]), np.float32).reshape(len(rows), 2 * terms).astype(np.float64)
     some = x.any(axis=1)
     prior = float(y.mean()) if len(y) else 0.5
     x, y = x[some], y[some]
     weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
     if not len(x):
-        return Model(weights, np.zeros((terms, 1)), np.zeros((0, 1)), y, prior)
+        return Model(weights, np.zeros((2 * terms, 1)), np.zeros((0, 1)), y, prior)
     # The right singular vectors come from the small matrix of term products.
     weighted = x * weights
     _, vectors = np.linalg.eigh(weighted.T @ weighted)

@@ -1,20 +1,22 @@
 """Toxicity grades by cumulative-link ordinal regression.
 
 P(grade >= k) is the logistic function of w.x - t_k: one weight vector for all
-thresholds t_1 <= t_2 <= ..., over sparse features: which of the selected words and
-word beginnings, letters only and ASCII-lower-cased, a text contains. The expected severity is
+thresholds t_1 <= t_2 <= ..., over sparse features: which words and word beginnings,
+letters only and ASCII-lower-cased, a text contains. The expected severity is
 the sum of those probabilities.
 
 Labels may hold ordered grades. Labels that only say whether a text is toxic are
-graded first: a binary model ranks the toxic rows of the sample by their evidence
-and thirds of that ranking are grades 1, 2 and 3. The model is fitted on at most
-``PER_CLASS`` labelled rows of either class; the features kept are the ``WORDS`` whose
-document frequencies differ most between them, by a factor of ``RATIO`` at least. The weights broadcast have at most
-WORDS entries. Whole texts are scored where they lie.
+graded by a stated proxy: the evidence that a binary model, fitted without the row
+itself (``FOLDS`` parts in turn), finds in a toxic row; thirds of that order are grades
+1, 2 and 3. The model is fitted on at most ``PER_CLASS`` labelled rows of either class.
+Every feature whose frequency differs between the classes by more than ``LEAST_Z``
+standard errors takes part, however many there are. Whole texts are scored where they lie.
 
 Defined results: a null or empty text has no words and gets the severity of the
 thresholds alone; without labelled rows of both classes severity is 0 and nothing
-is predicted toxic; equal texts get equal scores; extra columns are ignored; an
+is predicted toxic; equal texts get equal scores; rows that repeat a doc_id are scored
+one by one, and labels that repeat for an id are averaged; a very long text is scored
+in whole; a probability of just one half counts as toxic; extra columns are ignored; an
 empty table gives no rows.
 """
 
@@ -31,11 +33,11 @@ from pyspark.sql import functions as F
 from .labelled import sample
 from .textkit import batches, mix64, texts, words
 
-PER_CLASS, WORDS, GRADES = 2048, 512, 3
+PER_CLASS, GRADES, FOLDS = 2048, 3, 3
 #: Bytes of the word beginnings that are features beside the words: inflected forms share them.
 HEADS = (3, 4, 5)
-#: A feature is kept if this share of one class has it (four documents at least), and this many times as often as the other class.
-LEAST_SHARE, RATIO = 0.02, 20.0
+#: Standard errors between the classes, and documents of the sample, that a feature needs.
+LEAST_Z, LEAST_DOCS = 5.0, 4
 _U = np.uint64
 
 
@@ -97,7 +99,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 40,
     return w, t
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, keep: int = WORDS, grades: int = GRADES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, grades: int = GRADES) -> Model:
     """Fit on the bounded sample; its distinct words are collected, never those of the corpus."""
 
     def bags(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,13 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     total = np.bincount(column, minlength=len(vocabulary))
     n1, n0 = y.sum(), len(y) - y.sum()
     p1, p0, p = toxic / n1, (total - toxic) / n0, total / len(y)
-    often = (toxic >= max(4, LEAST_SHARE * n1)) | (total - toxic >= max(4, LEAST_SHARE * n0))
-    z = np.where(often, np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0)), 0)
-    # Documents are added to either side, so that rare features need more evidence.
-    odds = (toxic + 1) / (n1 + 2) / ((total - toxic + 1) / (n0 + 2))
-    z = np.where(np.maximum(odds, 1 / odds) >= RATIO, z, 0)
-    chosen = np.sort(np.argsort(-z, kind="stable")[:keep])
-    chosen = chosen[z[chosen] > 3]
+    z = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+    chosen = np.flatnonzero((total >= LEAST_DOCS) & (z > LEAST_Z))
     if not len(chosen):
         return nothing
     place = np.full(len(vocabulary), -1)
@@ -133,10 +130,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     hit = place[column] >= 0
     x[doc[hit], place[column[hit]]] = 1
     if y.max() == 1 and grades > 1:
-        first, _ = fit_ordinal(x, y, 1)
-        evidence = x[y == 1] @ first
+        evidence, part = np.zeros(len(y)), np.arange(len(y)) % FOLDS
+        for k in range(FOLDS):
+            if len(set(y[part != k].tolist())) == 2:
+                evidence[part == k] = x[part == k] @ fit_ordinal(x[part != k], y[part != k], 1)[0]
+        toxic_rows = y == 1
         y = y.copy()
-        y[y == 1] = 1 + np.searchsorted(np.quantile(evidence, np.arange(1, grades) / grades), evidence, side="right")
+        y[toxic_rows] = 1 + np.searchsorted(np.quantile(evidence[toxic_rows], np.arange(1, grades) / grades), evidence[toxic_rows], side="right")
     w, t = fit_ordinal(x, y, grades)
     return Model(vocabulary[chosen], w, t)
 
