@@ -1,20 +1,29 @@
 """Document fingerprints by randomised edit embedding.
 
-All texts are walked over with the same random bits: at step j of the walk the
+All texts are walked over with the same random bits: at step j of a walk the
 current character is emitted, and the bit that j and the character's class select
 says whether the walk moves on to the next character. Texts that differ by few
 edits fall back into step, so edit distance becomes Hamming distance between the
-walks. A fingerprint is a bit sample of the walk: 128 step positions, shared by
-all texts and chosen consistently for every walk length (the position of least
-hash in its class among the steps walked), each giving four hashed bits of the
-character emitted there. Likeness is the share of equal samples, corrected for
-chance. ``near_groups`` bands the samples: texts that agree in a whole band are
-candidates, verified by the likeness of all their samples.
-
-Defined results: null text is empty; an empty text has the fingerprint of zeros;
-equal texts have equal fingerprints; rows follow one another by descending
-doc_id (null last), then by hash of text; the last row is followed by the first,
-a single row by itself; repeated rows are neighbours; extra columns are ignored.
+walks. A walk may stay out of step after an edit, so ``WALKS`` walks with bits of their
+own are taken. The fingerprint is a bit sample of the walks: of each 128 step positions,
+shared by all texts and chosen consistently for every walk length (the position of
+least hash in its class among the steps walked), each giving four hashed bits of the
+character emitted there. The likeness of two walks is the share of equal samples,
+corrected for chance; the likeness of two texts is that of the walks that agree most.
+
+``near_groups`` bands the samples: texts that agree in a whole band of some walk
+are candidates, verified by their likeness (see ``leaders``); equal fingerprints are
+one class throughout.
+
+The walks of many texts go in lockstep, a character of each at a time; when few texts
+are left, they go on one by one, so a very long text holds up no others.
+
+Defined results: null text is empty; an empty text has the fingerprint of zeros and is
+linked with empty ones only; equal texts have equal fingerprints; rows follow one another
+by descending doc_id (null last), then by hash of text, then as read; the last row is followed by
+the first, a single row by itself; repeated rows are neighbours; a null doc_id has a
+null component_id unless it is linked; a very long text is walked in whole; extra columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,27 +39,44 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logstrata.scratch import materialize, width
+from logstrata.scratch import forget, materialize, width
 
 from .leaders import Closeness, Near, joined_components
-from .textkit import mix64
-
-SAMPLES, CLASSES, PERIOD = 128, 64, 1024
+from .textkit import batches, mix64
+
+WALKS, SAMPLES, CLASSES, PERIOD = 4, 128, 64, 1024
+#: Samples of a band (48 bits), and the least likeness of linked texts.
+BAND, LEAST = 12, 0.7
+#: Characters that go in lockstep at a time, texts from which lockstep pays, and bytes of texts held.
+CELLS, FEW, HELD = 2 << 20, 48, 3 << 20
+BYTES = WALKS * SAMPLES // 2
 _U = np.uint64
 _SEED = _U(0x51A7E0F1D3C2B495)
 
 
 @lru_cache(maxsize=1)
-def _walk_table() -> list[int]:
-    """next[state | class]: a state is 64 * (step modulo PERIOD)."""
-    bits = (mix64(np.arange(PERIOD * CLASSES, dtype=_U) + _SEED) >> _U(40)) & _U(1)
-    move = bits.reshape(PERIOD, CLASSES).astype(bool)
-    twice = np.concatenate([move, move])
-    nxt = np.zeros((PERIOD, CLASSES), np.int64)
-    for c in range(CLASSES):
-        ones = np.flatnonzero(twice[:, c])
-        nxt[:, c] = (ones[np.searchsorted(ones, np.arange(PERIOD))] + 1) % PERIOD
-    return (nxt * CLASSES).reshape(-1).tolist()
+def _walk_tables() -> np.ndarray:
+    """next[walk, step * CLASSES + class]: the step (modulo PERIOD) after the character at a step is passed."""
+    out = np.zeros((WALKS, PERIOD, CLASSES), np.int64)
+    for w in range(WALKS):
+        bits = (mix64(np.arange(PERIOD * CLASSES, dtype=_U) + _SEED + _U(w << 32)) >> _U(40)) & _U(1)
+        move = bits.reshape(PERIOD, CLASSES).astype(bool)
+        twice = np.concatenate([move, move])
+        for c in range(CLASSES):
+            ones = np.flatnonzero(twice[:, c])
+            out[w, :, c] = (ones[np.searchsorted(ones, np.arange(PERIOD))] + 1) % PERIOD
+    return out.reshape(WALKS, PERIOD * CLASSES)
+
+
+@lru_cache(maxsize=1)
+def _walk_lists() -> list[list[int]]:
+    """The same tables for texts that go one by one: a state is step * CLASSES."""
+    return [(t * CLASSES).tolist() for t in _walk_tables()]
+
+
+@lru_cache(maxsize=1)
+def _class_table() -> np.ndarray:
+    return (mix64(np.arange(0x110000, dtype=_U) + _SEED) & _U(CLASSES - 1)).astype(np.uint8)
 
 
 class _Positions:
@@ -66,127 +93,216 @@ class _Positions:
         for b in range(SAMPLES):
             at = np.flatnonzero(kind == b)
             run = np.minimum.accumulate(least[at])
-            keys.append(at[np.r_[True, run[1:] < run[:-1]]] + b * self.limit)
+            keys.append(at[np.append(True, run[1:] < run[:-1])] + b * self.limit)
         self.first = np.cumsum([0, *map(len, keys)])[:-1]
         self.keys = np.concatenate(keys)
 
-    def of(self, steps: int) -> np.ndarray:
-        if steps >= self.limit:
-            self.grow(steps)
+    def of(self, steps: np.ndarray) -> np.ndarray:
+        """(texts, SAMPLES): positions for walks of so many steps."""
+        if steps.max(initial=0) >= self.limit:
+            self.grow(int(steps.max()))
         base = np.arange(SAMPLES) * self.limit
-        found = np.searchsorted(self.keys, base + steps) - 1
-        empty = found < self.first
+        found = np.searchsorted(self.keys, (steps[:, None] + base).reshape(-1)).reshape(len(steps), SAMPLES) - 1
         at = self.keys[np.maximum(found, 0)] - base
-        spare = (mix64(np.arange(SAMPLES, dtype=_U) + _SEED) % _U(max(steps, 1))).astype(np.int64)
-        return np.where(empty, spare, at)
+        spare = (mix64(np.arange(SAMPLES, dtype=_U) + _SEED)[None, :] % np.maximum(steps, 1).astype(_U)[:, None]).astype(np.int64)
+        return np.where(found < self.first, spare, at)
 
 
 _positions = _Positions()
 
 
-def _chars(text: str) -> tuple[list[int], np.ndarray]:
-    """(walk classes, values) of the code points."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
-    mixed = mix64(points + _SEED)
-    return (mixed & _U(CLASSES - 1)).astype(np.int64).tolist(), mixed >> _U(16)
-
-
-def walk(classes: list[int], state: int = 0) -> list[int]:
-    """The state after each character."""
-    table = _walk_table()
-    return [state := table[state | c] for c in classes]
-
-
-def sample(states: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """SAMPLES numbers of four bits from a finished walk."""
-    if not len(values):
-        return np.zeros(SAMPLES, np.uint8)
-    step = states // CLASSES
-    ends = np.cumsum((np.diff(step, prepend=0) - 1) % PERIOD + 1)
-    at = _positions.of(int(ends[-1]))
-    char = np.searchsorted(ends, at, side="right")
-    return (mix64(values[char] + at.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(60)).astype(np.uint8)
+class Walks(NamedTuple):
+    """Walks of texts: the characters' code points one text after another, ``first`` the places where texts begin."""
+
+    points: np.ndarray
+    first: np.ndarray
+    #: (walks, texts): the step modulo PERIOD before each text's first character.
+    begin: np.ndarray
+    #: (walks, characters): the step modulo PERIOD after each character.
+    state: np.ndarray
+
+    def taken(self, w: int) -> np.ndarray:
+        """How many steps walk ``w`` has taken when it passes a character, from the text's beginning."""
+        size = np.diff(self.first)
+        some = size > 0
+        gone = np.empty(len(self.points), np.int64)
+        gone[1:] = self.state[w, :-1]
+        gone[self.first[:-1][some]] = self.begin[w, some]
+        gone = np.cumsum((self.state[w].astype(np.int64) - gone - 1) % PERIOD + 1)
+        heads = self.first[:-1][some]
+        base = np.where(heads > 0, gone[np.maximum(heads - 1, 0)], 0)
+        return gone - np.repeat(base, size[some])
+
+
+def points_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points one text after another, places where texts begin and the last ends)."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum([0, *map(len, texts)])
+
+
+def walk(points: np.ndarray, first: np.ndarray, begin: np.ndarray | None = None) -> Walks:
+    """The walks over texts, from steps ``begin`` (walks, texts) modulo PERIOD on."""
+    kinds, size = _class_table()[points], np.diff(first)
+    state = np.zeros((WALKS, len(points)), np.uint16)
+    begin = np.zeros((WALKS, len(size)), np.int64) if begin is None else begin
+    tables, order = _walk_tables(), np.argsort(-size, kind="stable")
+    flat, shift = tables.reshape(-1), (np.arange(WALKS) * tables.shape[1])[:, None]
+    at = 0
+    while at < len(order) and size[order[at]]:
+        # Texts of like length go together; their columns hold a bounded number of characters.
+        some = order[at : at + max(FEW, CELLS // int(size[order[at]]))]
+        some = some[size[some] > 0]
+        at += len(some)
+        length, start = size[some], first[some]
+        longest = int(length[0])
+        live = np.searchsorted(-length, -np.arange(longest), "left")
+        lockstep = int(np.searchsorted(-live, -FEW, "right"))
+        now = begin[:, some]
+        if lockstep:
+            kind = np.zeros((lockstep, len(some)), np.uint8)
+            for k, (a, n) in enumerate(zip(start.tolist(), np.minimum(length, lockstep).tolist(), strict=True)):
+                kind[:n, k] = kinds[a : a + n]
+            seen = np.zeros((lockstep, WALKS, len(some)), np.uint16)
+            for t in range(lockstep):
+                n = int(live[t])
+                now[:, :n] = flat.take(now[:, :n] * CLASSES + kind[t, :n] + shift)
+                seen[t, :, :n] = now[:, :n]
+            turned = np.ascontiguousarray(seen.transpose(2, 1, 0))
+            for k, (a, n) in enumerate(zip(start.tolist(), np.minimum(length, lockstep).tolist(), strict=True)):
+                state[:, a : a + n] = turned[k, :, :n]
+        for k in range(int(live[lockstep]) if lockstep < longest else 0):
+            a, b = int(start[k]) + lockstep, int(start[k] + length[k])
+            rest = kinds[a:b].tolist()
+            for w, table in enumerate(_walk_lists()):
+                s = int(now[w, k]) * CLASSES
+                state[w, a:b] = np.array([s := table[s | c] for c in rest]) // CLASSES
+    return Walks(points, first, begin, state)
+
+
+def _bits(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Four bits of the characters emitted at step positions."""
+    value = mix64(points.astype(_U) + _SEED) >> _U(16)
+    return (mix64(value + at.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(60)).astype(np.uint8)
+
+
+def _last(taken: np.ndarray, first: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Steps after the first ``kept`` characters of each text."""
+    out = np.zeros(len(kept), np.int64)
+    out[kept > 0] = taken[(first[:-1] + kept - 1)[kept > 0]]
+    return out
+
+
+def _emitted(walks: Walks, taken: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points that texts ``rows`` emit at step positions ``at`` (one row of positions a text)."""
+    reach = int(taken.max(initial=0)) + 2
+    owner = np.repeat(np.arange(len(walks.first) - 1), np.diff(walks.first))
+    place = np.searchsorted(taken + owner * reach, at + rows[:, None] * reach, side="right")
+    return walks.points[np.minimum(place, len(walks.points) - 1)]
+
+
+def _samples(walks: Walks, edits: tuple[np.ndarray, Walks] | None = None) -> list[np.ndarray]:
+    """(texts, WALKS * SAMPLES) samples of four bits of the texts; with (cut, tail), also of their first ``cut`` characters and the tail's after them."""
+    size = np.diff(walks.first)
+    n, rows = len(size), np.arange(len(size))
+    out = [np.zeros((n, WALKS, SAMPLES), np.uint8) for _ in range(1 + (edits is not None))]
+    for w in range(WALKS):
+        taken = walks.taken(w)
+        total = _last(taken, walks.first, size)
+        some = np.flatnonzero(total > 0)
+        if len(some):
+            at = _positions.of(total[some])
+            out[0][some, w] = _bits(_emitted(walks, taken, rows[some], at), at)
+        if edits is None:
+            continue
+        cut, tail = edits
+        beyond = tail.taken(w)
+        head = _last(taken, walks.first, cut)
+        total = head + _last(beyond, tail.first, np.diff(tail.first))
+        some = np.flatnonzero(total > 0)
+        if len(some):
+            at, end = _positions.of(total[some]), head[some][:, None]
+            points = np.zeros(at.shape, np.uint32)
+            early = at < end
+            if early.any():
+                points[early] = _emitted(walks, taken, rows[some], np.minimum(at, np.maximum(end - 1, 0)))[early]
+            if not early.all():
+                points[~early] = _emitted(tail, beyond, rows[some], np.maximum(at - end, 0))[~early]
+            out[1][some, w] = _bits(points, at)
+    return [x.reshape(n, WALKS * SAMPLES) for x in out]
+
+
+def packed(samples: np.ndarray) -> np.ndarray:
+    """(texts, BYTES): two samples a byte."""
+    return samples[:, 0::2] << 4 | samples[:, 1::2]
+
+
+def fingerprints(texts: list[str]) -> np.ndarray:
+    return packed(_samples(walk(*points_of(texts)))[0])
 
 
 def fingerprint(text: str | None) -> str:
-    classes, values = _chars(text or "")
-    return to_hex(sample(np.array(walk(classes), np.int64), values))
-
+    return fingerprints([text or ""])[0].tobytes().hex()
 
-def to_hex(samples: np.ndarray) -> str:
-    return (samples[0::2] << 4 | samples[1::2]).tobytes().hex()
 
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """0 to 1: equal samples beyond those that chance makes equal."""
-    return max(0.0, (float((a == b).mean()) - 1 / 16) / (15 / 16))
-
-
-class _Doc:
-    """A text with its walk."""
-
-    def __init__(self, doc_id: int | None, text: str):
-        self.doc_id, self.text = doc_id, text
-        self.classes, self.values = _chars(text)
-        self.states = walk(self.classes)
-        self.print = sample(np.array(self.states, np.int64), self.values)
-
-    def against(self, other: _Doc) -> tuple:
-        n = len(self.values)
-        k = n // 3
-        cut = n - k
-        edited = self.text[:cut] + other.text[:k]
-        tail = other.classes[:k]
-        states = self.states[:cut] + walk(tail, self.states[cut - 1] if cut else 0)
-        new = sample(np.array(states, np.int64), np.concatenate([self.values[:cut], other.values[:k]]))
-        sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-        return (self.doc_id, n, sha, to_hex(self.print), to_hex(new), likeness(self.print, new), likeness(self.print, other.print))
+def likenesses(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """0 to 1 for pairs of packed rows: the equal samples of the walk that agrees most, beyond those that chance makes equal."""
+    apart = (x ^ y).reshape(len(x), WALKS, SAMPLES // 2)
+    equal = ((apart < 16).sum(axis=2) + ((apart & 15) == 0).sum(axis=2)).max(axis=1) / SAMPLES
+    return np.maximum(0.0, (equal - 1 / 16) / (15 / 16))
 
 
 _NAMES = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _EDGE = ", _pid int, _edge string, _id long, _text string"
 
 
-def _pack(rows: list[tuple], extra: list[tuple] | None = None) -> pa.RecordBatch:
-    names, types = _NAMES, _TYPES
-    if extra is not None:
-        names, types = (*_NAMES, "_pid", "_edge", "_id", "_text"), (*_TYPES, pa.int32(), pa.string(), pa.int64(), pa.string())
-        rows = [(*r, *x) for r, x in zip(rows, extra, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], list(names))
+def _compared(ids: list[int | None], texts: list[str], following: list[str], chained: bool) -> pa.RecordBatch:
+    """Texts against their edited forms and the texts that follow them: in a chain, the next of ``texts`` and at the end the last of ``following``."""
+    n = len(texts)
+    everything = [*texts, following[-1]] if chained else [*texts, *following]
+    own = walk(*points_of(everything))
+    size = np.diff(own.first)
+    cut = size - size // 3
+    tails = [f[: k // 3] for f, k in zip(following, size[:n].tolist(), strict=True)] + [""] * (len(everything) - n)
+    begin = np.zeros((WALKS, len(everything)), np.int64)
+    begin[:, cut > 0] = own.state[:, (own.first[:-1] + cut - 1)[cut > 0]]
+    plain, edited = map(packed, _samples(own, (cut, walk(*points_of(tails), begin))))
+    after = plain[1:] if chained else plain[n:]
+    plain, edited = plain[:n], edited[:n]
+    sha = [hashlib.sha256((t[:c] + x).encode("utf-8", "surrogatepass")).hexdigest() for t, c, x in zip(texts, cut.tolist(), tails, strict=False)]
+    columns = [ids, size[:n], sha, [r.tobytes() for r in plain], [r.tobytes() for r in edited], likenesses(plain, edited), likenesses(plain, after)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], list(_NAMES))
+
+
+def _with_edges(batch: pa.RecordBatch | None, edges: list[tuple[int, str, int | None, str]]) -> pa.RecordBatch:
+    n, m = (batch.num_rows if batch is not None else 0), len(edges)
+    columns = [pa.concat_arrays([batch.column(k), pa.nulls(m, t)]) if batch is not None else pa.nulls(m, t) for k, t in enumerate(_TYPES)]
+    columns += [pa.array([None] * n + [e[k] for e in edges], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, [*_NAMES, "_pid", "_edge", "_id", "_text"])
 
 
 def _neighbours(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every row of a sorted partition against the next; its first and last rows go out as edges."""
-    part, last = TaskContext.get().partitionId(), None
-    blank, none = (None,) * len(_NAMES), (None,) * 4
-    for batch in frames:
-        rows, extra = [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            doc = _Doc(doc_id, text)
-            if last is None:
-                rows.append(blank)
-                extra.append((part, "head", doc_id, text))
-            else:
-                rows.append(last.against(doc))
-                extra.append(none)
-            last = doc
-        if rows:
-            yield _pack(rows, extra)
-    if last is not None:
-        yield _pack([blank], [(part, "tail", last.doc_id, last.text)])
+    part, held_id, held, begun = TaskContext.get().partitionId(), None, "", False
+    for batch in batches(frames, "text", HELD):
+        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        edges = [] if begun else [(part, "head", ids[0], texts[0])]
+        if begun:
+            ids, texts = [held_id, *ids], [held, *texts]
+        begun, held_id, held = True, ids[-1], texts[-1]
+        yield _with_edges(_compared(ids[:-1], texts[:-1], texts[1:], True) if len(texts) > 1 else None, edges)
+    if begun:
+        yield _with_edges(None, [(part, "tail", held_id, held)])
 
 
 def _across(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in frames:
-        rows = [_Doc(a, x).against(_Doc(b, y)) for a, x, b, y in zip(*(batch.column(c).to_pylist() for c in ("a", "x", "b", "y")), strict=True)]
-        if rows:
-            yield _pack(rows)
+        if batch.num_rows:
+            yield _compared(*(batch.column(c).to_pylist() for c in ("a", "x", "y")), False)
 
 
-def compare_neighbours(docs: DataFrame) -> DataFrame:
-    """Fingerprints of all texts, of their edited texts, and their likeness to both those and the next document's."""
+def compare_neighbours(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """Fingerprints of all texts, of their edited texts, their likeness to both those and the next document's, and the least id of the texts that likeness links."""
     parts = width(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_row"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "_row"]
@@ -197,24 +313,28 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     full = sorted(r[0] for r in edges.where("_edge = 'head'").select("_pid").collect())
     after = docs.sparkSession.createDataFrame([(p, full[(i + 1) % len(full)]) for i, p in enumerate(full)], "_pid int, _next int")
     tails = edges.where("_edge = 'tail'").join(after, "_pid").select(F.col("_id").alias("a"), F.col("_text").alias("x"), F.col("_next").alias("_pid"))
-    heads = edges.where("_edge = 'head'").select("_pid", F.col("_id").alias("b"), F.col("_text").alias("y"))
-    joins = tails.join(heads, "_pid").select("a", "x", "b", "y").mapInArrow(_across, _RESULT)
-    return done.where("_edge is null").select(*_NAMES).unionByName(joins)
+    heads = edges.where("_edge = 'head'").select("_pid", F.col("_text").alias("y"))
+    joins = materialize(tails.join(heads, "_pid").select("a", "x", "y").mapInArrow(_across, _RESULT), "editprint-edges")
+    both = done.where("_edge is null").select(*_NAMES).unionByName(joins)
+    groups = _components(both.select("doc_id", "n_chars", F.col("fingerprint").alias("payload")), least)
+    shown = both.join(groups, "fingerprint", "left")
+    empty = both.where("n_chars = 0").agg(F.min("doc_id")).first()[0]
+    component = F.when(F.col("n_chars") > 0, F.col("component_id")).otherwise(F.lit(empty).cast("long"))
+    hexed = [F.lower(F.hex(c)).alias(c) if c.endswith("fingerprint") else F.col(c) for c in _NAMES]
+    return shown.select(*hexed, component.alias("component_id"))
 
 
 def alike(least: float) -> Near:
     """Likeness of fingerprints, negative under ``least``."""
 
     def near(payloads: list[bytes], keys: np.ndarray | None) -> Closeness:
-        rows = np.frombuffer(b"".join(payloads), np.uint8).reshape(len(payloads), SAMPLES // 2)
+        rows = np.frombuffer(b"".join(payloads), np.uint8).reshape(len(payloads), BYTES)
 
         def close(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             out = np.empty(len(i))
-            for s in range(0, len(i), 1 << 14):
-                part = slice(s, s + (1 << 14))
-                apart = rows[i[part]] ^ rows[j[part]]
-                equal = (apart < 16).sum(axis=1) + ((apart & 15) == 0).sum(axis=1)
-                out[part] = (equal / SAMPLES - 1 / 16) / (15 / 16)
+            for s in range(0, len(i), 1 << 12):
+                part = slice(s, s + (1 << 12))
+                out[part] = likenesses(rows[i[part]], rows[j[part]])
             return np.where(out >= least, out, -1.0)
 
         return close
@@ -222,26 +342,36 @@ def alike(least: float) -> Near:
     return near
 
 
-def near_groups(docs: DataFrame, least: float = 0.7, bands: int = 32) -> DataFrame:
-    """doc_id, component_id (the least id of texts linked by likeness); empty texts are linked with equal ones only.
-
-    A single walk may stay out of step after an edit, so a small part of edited
-    copies is missed (one in six texts of 1 500 characters with 1 % of them changed).
-    """
+def _components(prints: DataFrame, least: float) -> DataFrame:
+    """(fingerprint, component_id) of the fingerprints of texts that are not empty, from (doc_id, n_chars, payload)."""
+    some = prints.where("n_chars > 0").groupBy("payload").agg(F.min("doc_id").alias("doc_id"))
+    some = materialize(some.withColumn("id", F.monotonically_increasing_id()), "prints")
 
-    def sign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def band(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hashes of runs of BAND samples of each walk."""
         for batch in frames:
-            made = [bytes.fromhex(fingerprint(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], ["id", "payload"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("id", F.xxhash64("text"))
-    prints = materialize(rows.where("text <> ''").select("id", "text").distinct().mapInArrow(sign, "id long, payload binary"), "prints")
-    wide = SAMPLES // 2 // bands
-    bandwise = F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("payload", b * wide + 1, wide)) for b in range(bands)]))
-    keys = prints.select(bandwise.alias("key"), "id")
+            rows = np.frombuffer(b"".join(batch.column("payload").to_pylist()), np.uint8).reshape(batch.num_rows, WALKS, SAMPLES // 2)
+            wide = BAND // 2
+            for w in range(WALKS):
+                for b in range(SAMPLES // BAND):
+                    six = np.zeros((len(rows), 8), np.uint8)
+                    six[:, :wide] = rows[:, w, b * wide : (b + 1) * wide]
+                    key = mix64(six.view(_U)[:, 0] + _U((w * 64 + b + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("id")], ["key", "id"])
+
+    keys = some.select("id", "payload").mapInArrow(band, "key long, id long")
     led = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "bands")
     members = materialize(keys.join(led, "key"), "band-members")
-    found = joined_components(members, prints, alike(least), lambda pairs: pairs)
-    named = rows.select("doc_id", "id").join(found, F.col("id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "id").alias("part"))
+    found = joined_components(members, some.select("id", "payload"), alike(least), lambda pairs: pairs)
+    named = some.select("id", "payload", "doc_id").join(found, F.col("id") == F.col("node"), "left").select(F.col("payload").alias("fingerprint"), "doc_id", F.coalesce("component", "id").alias("part"))
     named = materialize(named, "prints-named")
-    return named.join(materialize(named.groupBy("part").agg(F.min("doc_id").alias("component_id")), "prints-least"), "part").select("doc_id", "component_id")
+    least_ids = materialize(named.groupBy("part").agg(F.min("doc_id").alias("component_id")), "prints-least")
+    out = materialize(named.join(least_ids, "part").select("fingerprint", "component_id"), "print-groups")
+    forget(led, members, some, found, named, least_ids)
+    return out
+
+
+def near_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, component_id: one row per row, the least id of the texts that likeness links."""
+    found = compare_neighbours(docs, least)
+    return found.select("doc_id", "component_id")
