@@ -228,6 +228,10 @@ def test_near_lines_share_an_index_key(per_edit, gram):
         for row in zip(line.tolist(), key.tolist(), place.tolist(), length.tolist(), indexed.tolist(), strict=True):
             found[row[0]].append(row[1:])
     assert len(pairs) > 200
+    kinds = linejoin.classes_of(per_edit, gram)
+    for n, t in enumerate(t for p in pairs for t in p):
+        kind = np.searchsorted(kinds.first, len(t), "right") - 1
+        assert len(found[n]) <= 2 * len(t) and all(place * kinds.quantum[max(kind - 1, 0)] < len(t) for _, place, _, _ in found[n])
     for k in range(len(pairs)):
         x, y = found[2 * k], found[2 * k + 1]
         assert any(u[0] == v[0] and abs(u[1] - v[1]) <= 1 and abs(u[2] - v[2]) <= 1 and (u[3] or v[3]) for u in x for v in y)
