@@ -20,6 +20,8 @@ _CONF = "spark.checkpoint.dir"
 #: Seconds between two requests for a collection on the driver.
 COLLECT_EVERY = 2.0
 _collected = [0.0]
+#: Folders of applications without the setting.
+_own: dict[str, str] = {}
 #: Folders written within each open ``passing``.
 _passing: list[list[str]] = []
 
@@ -30,8 +32,9 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError(f"set {_CONF} to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='logstrata-')}"
-        spark.conf.set(_CONF, root)
+        # The setting can't be changed once a session runs, so the folder is kept here.
+        root = _own.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='logstrata-')}"
+        _own[spark.sparkContext.applicationId] = root
     return root.rstrip("/")
 
 
