@@ -67,9 +67,10 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def dealt(keys: np.ndarray, buckets: int) -> Iterable[tuple[int, slice]]:
-    """(bucket, slice) of sorted keys."""
-    edge = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-    return ((b, slice(int(edge[b]), int(edge[b + 1]))) for b in np.flatnonzero(np.diff(edge)).tolist())
+    """(bucket, slice) of sorted keys, for the buckets that have any."""
+    own = bucket_of(keys, buckets)
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    return ((int(own[a]), slice(a, b)) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True))
 
 
 def as_bytes(values: np.ndarray) -> bytes:

@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -170,6 +171,47 @@ def test_quality_on_held_out_rows(spark, make_docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, r in found.items() if r.predicted}
 
 
+def test_vote_against_plain_neighbours():
+    """Every cosine by itself, the nearest sorted out one by one, each vote weighed."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["good", "Bad!", "x9", "plain", "word", "MORE", "words", "again"], 30)) for _ in range(80)] + ["", "lonely"]
+    rates = quality.term_rates(pa.array(texts), 64).astype(np.float64)
+    basis = np.linalg.qr(rng.standard_normal((128, 9)))[0]
+    vectors = rng.standard_normal((50, 9))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    model = quality.Model(np.linspace(1, 2, 128), basis, vectors, (np.arange(50) % 3 == 0).astype(float), 0.4)
+    found = quality.vote(rates, model, 7)
+    for rate, score in zip(rates, found, strict=True):
+        latent = (rate * model.weights) @ basis
+        size = np.sqrt((latent**2).sum())
+        if size < 1e-12:
+            assert score == 0.4
+            continue
+        near = sorted(((float(sum(a * b for a, b in zip(latent / size, v, strict=True))), y) for v, y in zip(vectors, model.labels, strict=True)), reverse=True)[:7]
+        votes = [(max(c, 0), y) for c, y in near]
+        assert score == pytest.approx(sum(c * y for c, y in votes) / sum(c for c, _ in votes))
+
+
+def test_severity_against_plain_sums():
+    known = np.unique(toxicity.feature_ids(pa.array(["bad words fool fools"]))[0])
+    model = toxicity.Model(known, np.linspace(-1, 2, len(known)), np.array([0.1, 0.7, 2.0]))
+    texts = ["bad", "a fool among fools", "", None, "BAD bad bad words " * 400, "nothing here"]
+    found = toxicity.severities(pa.array([t or "" for t in texts]), model)
+    for t, row in zip(texts, found, strict=True):
+        own = set(toxicity.feature_ids(pa.array([t or ""]))[0].tolist())
+        linear = sum(float(model.weights[np.searchsorted(model.words, w)]) for w in own if w in set(model.words.tolist()))
+        assert row == pytest.approx([1 / (1 + np.exp(t_k - linear)) for t_k in model.thresholds])
+
+
+def test_a_hot_conversation_and_long_turns(spark):
+    """One conversation with most turns, very long texts, rows out of order."""
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(6000)] + [(2, 0, "user", "x<|" * 100_000), (2, 1, "assistant", None), (None, None, None, None)]
+    random.Random(2).shuffle(rows)
+    found = {r.conv_id: r for r in chat.read_back(chat.segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert found[1].n_turns == 6000 and found[1].valid and found[1].loss_chars == sum(len(f"turn {k}") for k in range(1, 6000, 2))
+    assert found[2].n_turns == 2 and found[2].loss_chars == 0 and found[None].n_turns == 1
+
+
 def test_quality_without_labels(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.scores(make_docs([(1, "a b"), (2, None)]), none).collect()} == {0.5}
@@ -183,6 +225,7 @@ def test_toxicity_finds_planted_words(spark, make_docs):
     assert all(found[d].predicted == t for d, _, t in labels)
     assert all(found[d].predicted == 0 for d in (900, 901, 902))
     assert all(0 <= r.expected_severity <= toxicity.GRADES and r.grade >= r.predicted for r in found.values())
+    assert toxicity.scores(make_docs([]), table).collect() == []
     none = spark.createDataFrame([], table.schema)
     assert {r.predicted for r in toxicity.scores(make_docs(rows[:5]), none).collect()} == {0}
 

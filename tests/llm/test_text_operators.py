@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from logstrata.llm import editprint, graph, leaders, linejoin, minhash, mixing, substring, textkit
 
@@ -109,6 +111,42 @@ def test_minhash_dedup_keeps_one_of_each_group(make_docs, corpus):
     assert minhash.groups(make_docs([])).collect() == []
 
 
+def test_minhash_dedup_of_repeated_and_null_ids(make_docs):
+    words = [f"w{i}" for i in range(60)]
+    a, near, other = " ".join(words), " ".join(["new", *words[1:]]), " ".join(reversed(words))
+    rows = [(1, a), (5, other), (5, near), (5, other), (None, a), (None, a), (7, None), (8, "")]
+    marked = minhash.groups(make_docs(rows)).collect()
+    assert sorted((r.doc_id or 0, r.kept) for r in marked) == [(0, True), (0, True), (1, True), (5, False), (5, True), (5, True), (7, True), (8, True)]
+    kept = sorted(((r.doc_id, r.text) for r in minhash.deduplicate(make_docs(rows)).collect()), key=repr)
+    assert kept == sorted([(1, a), (5, other), (None, a), (None, a), (7, None), (8, "")], key=repr)
+
+
+def test_minhash_recall_at_the_threshold():
+    """Of sets at similarity 0.75 exactly at most one pair in a thousand shares no table."""
+    rng = np.random.default_rng(6)
+    pairs = [(x[:70], np.concatenate([x[:60], x[70:80]])) for x in rng.integers(1, 1 << 62, (6000, 80)).astype(np.uint64)]
+    pairs = [(x, y) for x, y in pairs if 100 * len(np.intersect1d(x, y)) == 75 * len(np.union1d(x, y))]
+    assert len(pairs) > 5900
+    left, right = (minhash.half_keys([p[k] for p in pairs], minhash.HALVES, minhash.ROWS) for k in (0, 1))
+    same = left == right
+    met = same[:, : minhash.HALVES].any(axis=1) & same[:, minhash.HALVES :].any(axis=1)
+    assert (~met).sum() <= 6
+
+
+def test_odd_sketches_never_refute_a_link():
+    rng = np.random.default_rng(3)
+    sets, blobs = [], []
+    for size in (1, 2, 5, 31, 33, 64, 65, 300, 1000):
+        base = rng.integers(1, 1 << 62, size).astype(np.uint64)
+        for k in range(6):
+            sets.append(np.unique(np.concatenate([base[: max(1, size - k * size // 20)], rng.integers(1, 1 << 62, k * size // 25).astype(np.uint64)])))
+    blobs = [bytes(8 * minhash.HALVES) + b for b in minhash.sketches(sets)]
+    i, j = np.triu_indices(len(sets), 1)
+    close = minhash.maybe_alike(75, minhash.HALVES)(blobs, None)(i, j)
+    true = np.array([len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    assert ((true >= 0.75) <= (close >= true - 1e-12)).all() and (close[true < 0.5] < 0).mean() > 0.9
+
+
 def test_lost_leader_links_are_found(make_docs):
     """Copies whose edits add up: neighbours are alike, the ends are not."""
     words = [f"w{i}" for i in range(120)]
@@ -344,6 +382,21 @@ def test_mixing_meets_targets(make_docs, corpus):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in found)
 
 
+def test_copies_against_plain_prefix_sums(make_docs, corpus):
+    docs = make_docs(corpus + [(1000 + i, "word " * (i % 40)) for i in range(300)] + [(7, "again and again")] * 9)
+    base = mixing._base(docs, 17, ("doc_id", "source"))
+    found = {r._row: r for r in mixing._drawn(base, (1, 2, 3), 3.0, 17).collect()}
+    offset = F.shiftrightunsigned(F.xxhash64(F.lit(17), F.lit("offset"), F.col("_key")), 11) / F.lit(float(1 << 53))
+    by_source = defaultdict(list)
+    for r in base.withColumn("_u", offset).collect():
+        by_source[r._key].append(r)
+    for own in by_source.values():
+        for k, r in enumerate(sorted(own, key=lambda r: (r.size, r._h, r._row))):
+            rate = found[r._row].target / found[r._row].source_size if found[r._row].source_size else 0.0
+            assert found[r._row].copies == min(3, math.floor((k + 1) * rate + r._u) - math.floor(k * rate + r._u))
+    assert len(found) == sum(map(len, by_source.values()))
+
+
 def test_mixing_of_nothing(make_docs):
     assert mixing.mix(make_docs([])).collect() == []
     assert mixing.plan(make_docs([(1, None), (2, "")])).select("size", "target", "copies").collect() == [(0, 0.0, 0), (0, 0.0, 0)]
