@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logstrata.functions import text as T
+from logstrata.functions import times
 from logstrata.functions.patterns import Component, Matcher, from_terms
 from logstrata.operators import aggregates, compare, context, events, filters, sampling, segment, timeline
-from logstrata.plans import governance
+from logstrata.plans import governance, investigation
 from logstrata.scratch import with_rank
 from logstrata.sources.lines import count_lines, lines_of
 
@@ -521,6 +522,51 @@ def evidence_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.pointers(found, F.sha2("text", 256)).select("source_id", "uri")
 
 
+@query("SELECT event_id, CASE event_id % 4 WHEN 3 THEN make_timestamp(2000, month(ts), day(ts), hour(ts), minute(ts), second(ts)::DOUBLE) ELSE date_trunc('second', ts) END AS stated FROM events")
+def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times written in four ways, one without a year, read back."""
+    rows = _table(spark, sf_dir, "events")
+    kind, ts = F.col("event_id") % 4, F.col("ts")
+    raw = F.when(kind == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(kind == 1, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(kind == 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(ts, "MMM d HH:mm:ss"))
+    return rows.select("event_id", times.event_time(raw).alias("stated"))
+
+
+@query("SELECT doc_id, substring(text, 1, 256) AS shown, coalesce(length(text) > 256, false) AS truncated, translate(coalesce(source, ''), chr(9) || chr(10) || chr(13), '   ') AS cell FROM documents")
+def bounded_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").withColumn("b", T.bounded(F.col("text")))
+    return rows.select("doc_id", F.col("b.value").alias("shown"), F.col("b.truncated").alias("truncated"), T.one_line(F.col("source")).alias("cell"))
+
+
+@query("SELECT doc_id, translate(text, chr(9) || chr(10) || chr(13), '   ') AS cell FROM documents WHERE text IS NOT NULL")
+def one_line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.one_line(F.col("text")).alias("cell"))
+
+
+@query("""SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'kept' END AS change
+FROM (SELECT * FROM orders WHERE o_orderdate < DATE '1997-07-01') a FULL JOIN (SELECT * FROM orders WHERE o_orderdate >= DATE '1993-01-01') b ON a.o_custkey = b.o_custkey AND a.o_orderkey = b.o_orderkey""")
+def link_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' links to orders in two versions."""
+    rows = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return compare.link_changes(rows.where("o_orderdate < DATE '1997-07-01'"), rows.where("o_orderdate >= DATE '1993-01-01'"), "o_custkey", "o_orderkey")
+
+
+@query("""SELECT event_id, CAST(user_id AS VARCHAR) AS source, CASE WHEN c_custkey IS NOT NULL THEN 'evidence://sha256/' || sha256(c_name) || '#L' || event_id || '-L' || (event_id + 1) END AS uri, c_custkey IS NOT NULL AS citable FROM events LEFT JOIN customer ON c_custkey = user_id""")
+def run_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events cite the customer that their user is, if there is one."""
+    found = _table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("first"), (F.col("event_id") + 1).alias("last"))
+    digests = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("source"), F.sha2("c_name", 256).alias("sha256"))
+    return compare.run_evidence(found, digests)
+
+
+@query("SELECT lang AS operation, count(*) AS runs, count(*) FILTER (WHERE quality = 1) AS clean, CAST(sum(len(string_split(source, '_'))) AS BIGINT) AS evidence, CAST(sum(toxic + CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS limits FROM documents JOIN labels USING (doc_id) WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY lang")
+def recording_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as runs, their labels as limits."""
+    rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id").where("source is not null and lang is not null")
+    flags = F.create_map(F.lit("toxic"), F.col("toxic") == 1, F.lit("poor"), F.col("quality") == 0)
+    runs = rows.select(F.col("lang").alias("operation"), F.when(F.col("quality") == 1, "ok").otherwise("partial").alias("status"), F.split("source", "_").alias("evidence"), flags.alias("flags"))
+    return investigation.recording_metrics(runs)
+
+
 VOCABULARY_TERMS = tuple(dict.fromkeys(a + b + c for a in ("th", "an", "er", "on") for b in ("e", "in", "tion", "ed", "a") for c in ("", "d", "s", " th", "an", "ly", "re", ".", "er", "st")))
 
 

@@ -74,6 +74,16 @@ def clip(text: Column, chars: int) -> Column:
     return F.when(F.length(text) > chars, cut).otherwise(text)
 
 
+def bounded(text: Column, chars: int = 256) -> Column:
+    """struct(value, truncated): at most ``chars`` characters."""
+    return F.struct(F.substring(text, 1, chars).alias("value"), F.coalesce(F.length(text) > chars, F.lit(False)).alias("truncated"))
+
+
+def one_line(text: Column) -> Column:
+    """Tabs and line breaks as spaces, null as empty: a cell of a tab-separated table."""
+    return F.translate(F.coalesce(text, F.lit("")), "\t\r\n", "   ")
+
+
 def token_estimate(text: Column) -> Column:
     return F.floor(F.length(text) / 3).cast("long")
 

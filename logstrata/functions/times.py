@@ -86,6 +86,15 @@ def iso(raw: Column) -> Column:
     return F.when(looks, F.try_to_timestamp(F.regexp_replace(F.trim(raw), r"([+-]\d{2})(\d{2})$", "$1:$2")).cast("timestamp_ntz"))
 
 
+# Layouts of event times beside ISO, tried in this order.
+EVENT_LAYOUTS = ("%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%m-%d %H:%M:%S.%f", "%m-%d %H:%M:%S", "%b %d %H:%M:%S")
+
+
+def event_time(raw: Column) -> Column:
+    """The time that an event states as text, UTC without a zone; one without a year means EVENT_YEAR."""
+    return F.coalesce(iso(raw), parse(raw, EVENT_LAYOUTS, EVENT_YEAR))
+
+
 def epoch(number: Column) -> Column:
     """Seconds, or milliseconds beyond 1e11 in size."""
     value = number.cast("double")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logstrata.functions import text as T
+
 
 def changes(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Full outer comparison: added, removed, changed (with the fields that differ) or same."""
@@ -32,6 +34,27 @@ def having(rows: DataFrame, others: DataFrame, on: Column | list[str]) -> DataFr
     return rows.join(others, on, "left_semi")
 
 
+def link_changes(left: DataFrame, right: DataFrame, source: str, target: str) -> DataFrame:
+    """Links on either side: added, removed or kept."""
+    old = left.select(source, target).distinct().withColumn("_old", F.lit(True))
+    new = right.select(source, target).distinct().withColumn("_new", F.lit(True))
+    joined = old.join(new, [source, target], "full_outer")
+    return joined.select(source, target, F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("kept").alias("change"))
+
+
+def run_evidence(events: DataFrame, digests: DataFrame) -> DataFrame:
+    """Events (event_id, source, first, last) with the URI that their source's digest (source, sha256) gives; without one they are not citable."""
+    uri = T.evidence_uri(F.col("sha256"), F.col("first"), F.col("last"))
+    return events.join(digests, "source", "left").select("event_id", "source", F.when(F.col("sha256").isNotNull(), uri).alias("uri"), F.col("sha256").isNotNull().alias("citable"))
+
+
+def unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Files (path, size, sha256) before and after a run: same, modified, removed or added."""
+    old, new = before.select("path", F.struct("size", "sha256").alias("_old")), after.select("path", F.struct("size", "sha256").alias("_new"))
+    state = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") == F.col("_new"), "same").otherwise("modified")
+    return old.join(new, "path", "full_outer").select("path", state.alias("state"))
+
+
 def ordered_union(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Distinct keys, each where it came first."""
     return rows.groupBy(key).agg(F.min(order).alias("position"))

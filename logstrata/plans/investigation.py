@@ -86,6 +86,20 @@ def record_execution(state: dict[str, Any], operation: str, status: str, test: s
     return _add(state, "executions", {"operation": operation, "status": status, "test": test, "hypothesis": hypothesis, "evidence": evidence or [], "flags": flags or {}})
 
 
+def attach_result(state: dict[str, Any], result: dict[str, Any], test: str | None = None) -> str:
+    """A tool's result envelope as an execution: its evidence by URI, and what its coverage leaves open as flags."""
+    coverage = result.get("coverage") or {}
+    flags = {"partial": result["status"] == "partial", "no_match": result["status"] == "no_match", "omitted": bool(coverage.get("omitted") or coverage.get("withheld")), "warned": bool(result.get("warnings"))}
+    evidence = [e["uri"] for e in result.get("evidence") or [] if e.get("uri")]
+    return record_execution(state, result["operation"], result["status"], test, evidence, flags)
+
+
+def recording_metrics(runs: DataFrame) -> DataFrame:
+    """How much executions (operation, status, evidence, flags) record: runs, clean ones, pieces of evidence, and limits stated."""
+    stated = F.size(F.filter(F.map_values("flags"), lambda x: x))
+    return runs.groupBy("operation").agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "ok").alias("clean"), F.sum(F.greatest(F.size("evidence"), F.lit(0))).alias("evidence"), F.sum(F.greatest(stated, F.lit(0))).alias("limits"))
+
+
 def add_finding(state: dict[str, Any], hypothesis: str, outcome: str, tests: list[str], evidence: list[str]) -> str:
     """Settles a hypothesis: by tests, and with evidence if it is supported or contradicted."""
     if outcome not in OUTCOMES or not tests:

@@ -28,6 +28,14 @@ def write_hits(hits: DataFrame, path: str) -> None:
     hits.where("term is not null").select("source_id", "term", "terms", "matched_by", "start_line", "end_line", "hit_lines").write.json(path)
 
 
+def write_templates(templates: DataFrame, path: str, hits: int, threshold: int) -> bool:
+    """Folded templates, most records first, if there are at least ``threshold`` hits; whether they were written."""
+    if not threshold or hits < threshold:
+        return False
+    templates.orderBy(F.desc("records"), "first_order").write.json(path)
+    return True
+
+
 def write_events(events: DataFrame, path: str) -> None:
     """Events without their raw text."""
     events.drop("text").write.json(path)
