@@ -10,8 +10,13 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from logstrata.plans import investigation, scenario, tools
+from logstrata.operators import filters
+from logstrata.plans import investigation, scenario, tools, views
+from logstrata.plans.layouts import segmented
 from logstrata.plans.runtime import plugged
+from logstrata.sources import sinks
+from logstrata.sources.lines import digests, resolve_paths
+from logstrata.sources.registry import build_source, names_of_providers
 
 
 #: Rows of a list that are printed; the answer says how many there are.
@@ -46,6 +51,19 @@ def parser() -> argparse.ArgumentParser:
     verbs.choices["run"].add_argument("--output")
     verbs.choices["run"].add_argument("--allow-live", action="store_true")
     verbs.choices["run"].add_argument("--allow-actions", action="store_true")
+    chosen = verbs.add_parser("filter")
+    chosen.add_argument("path")
+    chosen.add_argument("pattern")
+    chosen.add_argument("--output")
+    for option in ("--last", "--since", "--until", "--pid"):
+        chosen.add_argument(option)
+    for option in ("--line-from", "--line-to", "--tail-lines"):
+        chosen.add_argument(option, type=int)
+    for name in ("segment", "source"):
+        verbs.add_parser(name).add_argument("path")
+    for name in ("filter", "segment"):
+        verbs.choices[name].add_argument("--segmenter", default="auto")
+    verbs.add_parser("plugin")
     state = verbs.add_parser("investigation")
     state.add_argument("action", choices=["create", "show", "hypothesis", "stop", "gaps", "timeline"])
     state.add_argument("state")
@@ -74,6 +92,18 @@ def _investigate(spark: SparkSession, args: argparse.Namespace) -> object:
     return {"rows": shown, "total": total, "status": "partial" if total > len(shown) else "ok"}
 
 
+def _filter(spark: SparkSession, args: argparse.Namespace) -> dict[str, object]:
+    """Records that match, written if a folder is named; the answer counts them and says what was searched."""
+    records, kind = segmented(build_source(spark, {"path": args.path}), args.segmenter)
+    scope = {k: getattr(args, k) for k in ("last", "since", "until", "pid", "line_from", "line_to", "tail_lines")}
+    found = scenario.filtered(records, scope | {"grep": args.pattern})
+    rows = [r.asDict() for r in filters.summary(found).orderBy("source_id").limit(LISTED).collect()]
+    if args.output:
+        sinks.write_records(filters.hits(found), f"{args.output}/records")
+        sinks.write_hits(filters.hits(found), f"{args.output}/hits")
+    return {"status": "ok" if any(r["matched_records"] for r in rows) else "no_match", "scope": views.scope_text(scope), "segmenter": kind, "sources": rows}
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("logstrata").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -96,6 +126,17 @@ def main(argv: list[str] | None = None) -> int:
             result = tools.expand_many(spark, json.loads(Path(args.result).read_text(encoding="utf-8")), args.path, args.refs)
         case "verify":
             result = tools.verify(spark, json.loads(Path(args.document).read_text(encoding="utf-8")))
+        case "filter":
+            result = _filter(spark, args)
+        case "segment":
+            records, kind = segmented(build_source(spark, {"path": args.path}), args.segmenter)
+            result = {"segmenter": kind, "records": records.count()}
+        case "source":
+            files = digests(spark, resolve_paths(spark, args.path))
+            result = {"files": [r.asDict() for r in files.orderBy("path").limit(LISTED).collect()], "total": files.count()}
+        case "plugin":
+            given = plugged()
+            result = {"presets": sorted(given.presets), "assertions": sorted(given.assertions), "outputters": sorted(given.outputters), "sources": sorted(names_of_providers())}
         case "run":
             granted = replace(plugged(), allow_live=args.allow_live, allow_actions=args.allow_actions)
             result = scenario.run(spark, scenario.load(args.document), args.output, granted)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -114,19 +115,32 @@ class SpaceSaving:
 
     def __init__(self, capacity: int):
         self.capacity, self.counts, self.errors, self.since, self.evicted = max(1, capacity), {}, {}, {}, 0
+        self.heap: list[tuple[int, int, str]] = []
+        self.clock = 0
+
+    def _least(self) -> str:
+        """The key of least count, the oldest of several; outdated entries of the heap are passed over."""
+        while True:
+            count, since, key = heappop(self.heap)
+            if self.counts.get(key) == count and self.since[key] == since:
+                return key
 
     def add(self, key: str) -> None:
         if key not in self.counts:
             start = 0
             if len(self.counts) >= self.capacity:
-                victim = min(self.counts, key=lambda k: (self.counts[k], self.since[k]))
+                victim = self._least()
                 start = self.counts.pop(victim)
                 self.errors.pop(victim)
                 self.since.pop(victim)
                 self.evicted += 1
-            self.counts[key], self.errors[key] = start, start
-            self.since[key] = max(self.since.values(), default=-1) + 1
+            self.counts[key], self.errors[key], self.since[key] = start, start, self.clock
+            self.clock += 1
         self.counts[key] += 1
+        heappush(self.heap, (self.counts[key], self.since[key], key))
+        if len(self.heap) > 8 * self.capacity + 64:
+            self.heap = [(n, self.since[k], k) for k, n in self.counts.items()]
+            heapify(self.heap)
 
     def rows(self) -> Iterator[tuple[str, int, int, int]]:
         """(key, count, least it can be, error), most first."""

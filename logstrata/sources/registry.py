@@ -34,6 +34,10 @@ def register_provider(*names: str) -> Callable[[Provider], Provider]:
     return add
 
 
+def names_of_providers() -> list[str]:
+    return list(_PROVIDERS)
+
+
 def is_live(spec: dict[str, Any]) -> bool:
     """Whether a source runs a command."""
     return str(spec.get("type", "file")).lower() in ("live", "command", "cmd")
