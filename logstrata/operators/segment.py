@@ -15,7 +15,6 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from logstrata.functions import times
 from logstrata.functions.patterns import check, group_names, java_group, to_java
@@ -32,13 +31,23 @@ def no_fields() -> Column:
     return F.lit(None).cast("map<string,string>")
 
 
-def _in_file() -> WindowSpec:
-    return Window.partitionBy("source_id").orderBy("line_no")
+#: Lines of a source that are counted in one task; a source of any length is as many tasks as it has such runs.
+RUN = 1 << 16
+
+
+def running(rows: DataFrame, value: Column, line: str, name: str) -> DataFrame:
+    """``rows`` with the running sum of ``value`` in each source's order of ``line``: summed within runs of lines, each starting where the runs before it end."""
+    marked = rows.withColumn("_run", F.floor((F.col(line) - 1) / RUN))
+    totals = marked.groupBy("source_id", "_run").agg(F.sum(value).alias("_total"))
+    before = F.coalesce(F.sum("_total").over(Window.partitionBy("source_id").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.select("source_id", "_run", before.alias("_start"))
+    within = F.sum(value).over(Window.partitionBy("source_id", "_run").orderBy(line).rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("_within", within).join(starts, ["source_id", "_run"]).withColumn(name, F.col("_start") + F.col("_within")).drop("_run", "_within", "_start")
 
 
 def _number(records: DataFrame) -> DataFrame:
-    window = Window.partitionBy("source_id").orderBy("start_line")
-    return records.select("source_id", F.row_number().over(window).cast("long").alias("rec_no"), "start_line", "end_line", "text", "ts", "fields")
+    numbered = running(records, F.lit(1), "start_line", "rec_no")
+    return numbered.select("source_id", F.col("rec_no").cast("long").alias("rec_no"), "start_line", "end_line", "text", "ts", "fields")
 
 
 def _plain() -> list[Column]:
@@ -60,7 +69,7 @@ def _grouped(lines: DataFrame, group: str) -> DataFrame:
 def by_paragraph(lines: DataFrame) -> DataFrame:
     """Blank lines separate records and belong to none."""
     blank = F.trim(F.regexp_replace("line", r"\s", " ")) == ""
-    marked = lines.withColumn("_group", F.sum(blank.cast("int")).over(_in_file())).where(~blank)
+    marked = running(lines, blank.cast("int"), "line_no", "_group").where(~blank)
     return _number(_grouped(marked, "_group"))
 
 
@@ -78,7 +87,7 @@ def _anchored(pattern: str, ignore_case: bool = False) -> str:
 def by_separator(lines: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
     """A line whose start matches begins a record; lines before the first form one of their own."""
     begins = F.col("line").rlike(_anchored(pattern, ignore_case))
-    return _number(_grouped(lines.withColumn("_group", F.sum(begins.cast("int")).over(_in_file())), "_group"))
+    return _number(_grouped(running(lines, begins.cast("int"), "line_no", "_group"), "_group"))
 
 
 def by_json(lines: DataFrame, time_field: str | None = None, level_field: str | None = None, message_field: str | None = None) -> DataFrame:
@@ -157,9 +166,9 @@ def by_format(lines: DataFrame, layout: Format) -> DataFrame:
     if layout.unclosed_start:
         marked = lines.withColumn("_begins", begins).groupBy("source_id").applyInPandas(lambda frame: _continued(frame, layout.max_lines), "source_id string, line_no long, line string, _begins boolean, _group long")
     elif layout.multiline:
-        marked = lines.withColumns({"_begins": begins, "_group": F.sum(begins.cast("long")).over(_in_file())})
+        marked = running(lines, begins.cast("long"), "line_no", "_group")
     else:
-        marked = lines.withColumns({"_begins": begins, "_group": F.col("line_no")})
+        marked = lines.withColumn("_group", F.col("line_no"))
     grouped = _grouped(marked, "_group")
     first = F.get(F.split("text", "\n"), 0)
     names = group_names(layout.start)

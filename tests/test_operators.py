@@ -176,3 +176,16 @@ def test_behaviour_moves_past_late_steps():
     seen = [{"event_id": "1", "name": "a", "ts": at(0)}, {"event_id": "2", "name": "b", "ts": at(30)}, {"event_id": "3", "name": "c", "ts": at(31)}]
     out = events.behaviour(seen, [{"match": {"name": "a"}}, {"match": {"name": "b"}, "within": 5}, {"match": {"name": "c"}, "within": 5}])
     assert [s["matched"] for s in out["steps"]] == [True, False, True] and not out["satisfied"]
+
+
+def test_records_of_a_source_of_many_runs(spark, monkeypatch):
+    """Records go on across the borders of runs, and no window gathers a source."""
+    monkeypatch.setattr(segment, "RUN", 7)
+    text = "\n".join("head" if i % 11 == 3 else "" if i % 13 == 0 else f"line {i}" for i in range(200))
+    lines = lines_of(spark.createDataFrame([("a", text), ("b", "x\nhead\ny")], "source_id string, text string"), "source_id", "text")
+    separated = [(r.source_id, r.rec_no, r.start_line, r.end_line) for r in segment.by_separator(lines, "head").orderBy("source_id", "rec_no").collect()]
+    heads = [i + 1 for i in range(200) if i % 11 == 3]
+    ends = [h - 1 for h in heads] + [200]
+    assert separated == [("a", n, a, b) for n, (a, b) in enumerate(zip([1, *heads], ends, strict=True), 1)] + [("b", 1, 1, 1), ("b", 2, 2, 3)]
+    paragraphs = segment.by_paragraph(lines).where("source_id = 'a'").orderBy("rec_no").collect()
+    assert [p.rec_no for p in paragraphs] == list(range(1, len(paragraphs) + 1)) and "\n".join(p.text for p in paragraphs).split("\n") == [x for x in text.split("\n") if x]
