@@ -567,6 +567,15 @@ def recording_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return investigation.recording_metrics(runs)
 
 
+@query("""WITH t AS (SELECT event_type AS template, event_id FROM events), n AS (SELECT template, count(*) AS c FROM t GROUP BY template ORDER BY c DESC, template LIMIT 3)
+SELECT * FROM (SELECT template, row_number() OVER (PARTITION BY template ORDER BY event_id) AS position, event_id AS "order", template AS sample FROM t WHERE template IN (SELECT template FROM n)) WHERE position <= 2""")
+def survey_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two records of the three commonest event types."""
+    rows = _table(spark, sf_dir, "events").select("event_id", "ts", F.col("event_type").alias("text"))
+    best = aggregates.survey_templates(rows, F.col("event_id"), 3)
+    return aggregates.template_samples(rows, F.col("event_id"), best, 2).drop("ts")
+
+
 VOCABULARY_TERMS = tuple(dict.fromkeys(a + b + c for a in ("th", "an", "er", "on") for b in ("e", "in", "tion", "ed", "a") for c in ("", "d", "s", " th", "an", "ly", "re", ".", "er", "st")))
 
 

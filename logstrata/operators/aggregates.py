@@ -110,6 +110,14 @@ def survey_templates(records: DataFrame, order: Column, limit: int = 20) -> Data
     return best.withColumn("template", F.substring("template", 1, TEMPLATE_CHARS))
 
 
+def template_samples(records: DataFrame, order: Column, templates: DataFrame, most: int = 3) -> DataFrame:
+    """(template, position, order, ts, sample): the first records of each of the few ``templates``; a limit per group is kept before rows are shuffled."""
+    keyed = records.select(T.template(F.col("text")).alias("template"), order.alias("order"), "ts", F.substring(F.trim("text"), 1, T.SAMPLE_CHARS).alias("sample"))
+    few = keyed.join(F.broadcast(templates.select("template").limit(MAX_TEMPLATES)), "template", "left_semi")
+    place = F.row_number().over(Window.partitionBy("template").orderBy("order"))
+    return few.withColumn("position", place.cast("long")).where(F.col("position") <= min(most, MAX_SAMPLES)).select("template", "position", "order", "ts", "sample")
+
+
 class SpaceSaving:
     """At most ``capacity`` counters; a new key takes over the least one, its count and the error that brings."""
 

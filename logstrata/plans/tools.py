@@ -19,6 +19,7 @@ from logstrata.functions import text as T
 from logstrata.functions import times
 from logstrata.functions.patterns import PatternError, from_terms
 from logstrata.operators import aggregates, compare, context, filters, sampling, segment
+from logstrata.scratch import materialize
 from logstrata.sources import lines as L
 from logstrata.sources.registry import build_source
 
@@ -92,18 +93,23 @@ def search(spark: SparkSession, path: str, query: str, *, regex: bool = False, s
     return fit(envelope("search", status, "supported", evidence=evidence, coverage={"scoped_records": int(counts["scoped"]), "matched_records": matched}, data=data))
 
 
-def survey(spark: SparkSession, path: str, *, segmenter: str | dict[str, Any] = "auto", since: str | None = None, until: str | None = None, max_templates: int = 20, glob: str = "*", recursive: bool = False) -> dict[str, Any]:
+def survey(spark: SparkSession, path: str, *, segmenter: str | dict[str, Any] = "auto", since: str | None = None, until: str | None = None, max_templates: int = 20, samples: int = 3, glob: str = "*", recursive: bool = False) -> dict[str, Any]:
     """Time coverage, severities, busiest minutes and commonest templates."""
     _, records, kind = _source(spark, path, segmenter, glob, recursive)
     after, before = _moments(records, since, until)
     scoped = records.where(filters.in_time(after, before))
     order = F.col("start_line")
     fields = [F.col("fields")[k] for k in segment.LEVEL_KEYS]
+    templates = materialize(aggregates.survey_templates(scoped, order, max_templates), "survey")
+    shown: dict[str, list[dict[str, Any]]] = {}
+    for row in aggregates.template_samples(scoped, order, templates, samples).orderBy("template", "position").collect():
+        shown.setdefault(row["template"], []).append({"line": row["order"], "ts": row["ts"], "text": row["sample"]})
     data = {
         "range": aggregates.time_range(scoped).first().asDict(),
+        "whole_range": aggregates.time_range(records).first().asDict(),
         "levels": [r.asDict() for r in aggregates.level_histogram(scoped, T.level(F.col("text"), *fields)).collect()],
         "minutes": [r.asDict() for r in aggregates.minute_histogram(scoped, order, aggregates.MAX_MINUTES).collect()],
-        "templates": [r.asDict() for r in aggregates.survey_templates(scoped, order, max_templates).collect()],
+        "templates": [r.asDict() | {"samples": shown.get(r["template"], [])} for r in templates.orderBy(F.desc("records"), "template").collect()],
         "segmenter": kind,
     }
     return envelope("survey", "ok", data=data)

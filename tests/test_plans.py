@@ -79,7 +79,9 @@ def test_search_expand_verify(spark, log):
 def test_overviews(spark, log):
     out = tools.survey(spark, log)["data"]
     assert out["range"]["records"] == 20 and out["levels"] == [{"level": "INFO", "records": 16}, {"level": "ERROR", "records": 4}]
-    assert out["templates"][0]["template"] == "<TS> INFO request <NUM> from <IP>"
+    assert out["templates"][0]["template"] == "<TS> INFO request <NUM> from <IP>" and [s["line"] for s in out["templates"][0]["samples"]] == [2, 3, 4]
+    late = tools.survey(spark, log, since="03:04:10")["data"]
+    assert late["range"]["records"] == 10 and late["whole_range"]["records"] == 20
     assert tools.probe(spark, log)["data"]["sources"][0]["lines"] == 20
     assert len(tools.sample(spark, log, strategy="uniform", count=4)["data"]["records"]) == 4
     assert next(iter(tools.probe_format(spark, log)["data"].values()))["recommended"] == "format"
