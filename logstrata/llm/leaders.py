@@ -9,6 +9,11 @@ payloads that bound the likeness: a task returns the ``most`` closest candidates
 each member. They are verified, components grow, and rounds with many times as many
 go on until no member had more to offer.
 
+A caller that can verify texts in place may have members that keys connect, as far as
+they are at most ``WHOLE`` and their texts ``WHOLE_BYTES``, compared as wholes instead:
+each text is sent once, to the one task of its group, which joins components as it finds
+links and returns only links that joined. Larger groups go by keys as above.
+
 So every pair that shares a key ends up in one component or refuted, nothing is
 capped, and what tasks return grows with the members, not with their pairs. A task
 holds two blocks of at most about ``BLOCK`` members, however many share a key.
@@ -32,6 +37,8 @@ BLOCK = 2048
 SMALL, PAIRS, STEP = 24, 1 << 17, 4096
 #: Candidates of a member in the first round.
 MOST = 4
+#: Members, and bytes of their texts, up to which a group is compared as a whole.
+WHOLE, WHOLE_BYTES = 1 << 14, 32 << 20
 #: near(payloads, keys)(i, j): closeness of payloads i and j, negative where they cannot be linked.
 #: Given the keys of the rows, it may leave out pairs that another key which they share will bring.
 Closeness = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -98,6 +105,66 @@ def _pairs(first: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> It
             yield np.repeat(some, len(rights)), np.tile(rights, len(some))
 
 
+class Parts:
+    """Components of a table's rows, joined as links are found."""
+
+    def __init__(self, component: np.ndarray):
+        _, self.of = np.unique(component, return_inverse=True)
+        self.parent = np.arange(int(self.of.max(initial=-1)) + 1)
+
+    def roots(self, rows: np.ndarray) -> np.ndarray:
+        while True:
+            up = self.parent[self.parent]
+            if (up == self.parent).all():
+                return self.parent[self.of[rows]]
+            self.parent = up
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> list[int]:
+        """Numbers of the links (i, j) that joined components."""
+        parent, out = self.parent, []
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for k, (x, y) in enumerate(zip(self.of[i].tolist(), self.of[j].tolist(), strict=True)):
+            x, y = find(x), find(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append(k)
+        return out
+
+
+#: Links (rows i, rows j) that join parts of a group of texts; the parts are updated.
+Whole = Callable[[list[bytes], Parts], Iterator[tuple[np.ndarray, np.ndarray]]]
+
+
+def _wholes(first: DataFrame, found: DataFrame, texts: DataFrame, whole: Whole) -> tuple[DataFrame, DataFrame]:
+    """(joining links of the groups that are compared as wholes, ids of the groups that are not)."""
+    groups = components(first)
+    placed = groups.join(found.withColumnRenamed("component", "part"), "node", "left").select(F.col("node").alias("id"), F.col("component").alias("group"), F.coalesce("part", "node").alias("part"))
+    placed = materialize(placed.join(texts.select("id", F.octet_length("line").alias("size")), "id"), "groups")
+    sizes = placed.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+    sizes = materialize(sizes.select("group", ((F.col("n") <= WHOLE) & (F.col("bytes") <= WHOLE_BYTES)).alias("small")), "group-sizes")
+
+    def join(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first_rows in runs(frames, ("group",)):
+            for a, b in zip(first_rows.tolist(), [*first_rows[1:].tolist(), table.num_rows], strict=True):
+                own = table.slice(a, b - a)
+                ids = own.column("id").to_numpy()
+                for i, j in whole(own.column("line").to_pylist(), Parts(own.column("part").to_numpy())):
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
+
+    rows = placed.join(sizes.where("small").select("group"), "group").join(texts, "id").select("group", "id", "part", "line")
+    links = materialize(rows.repartition(width(first.sparkSession), "group").sortWithinPartitions("group").mapInArrow(join, "a long, b long"), "links")
+    large = materialize(placed.join(sizes.where("not small"), "group", "left_semi").select("id"), "large-groups")
+    forget(groups, placed, sizes)
+    return links, large
+
+
 _FOUND = "a long, b long, more boolean"
 
 
@@ -179,17 +246,29 @@ def _leaders(members: DataFrame) -> DataFrame:
     return pairs
 
 
-def joined_components(members: DataFrame, payloads: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def joined_components(members: DataFrame, payloads: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame], whole: tuple[DataFrame, Whole] | None = None) -> DataFrame:
     """(node, component) of all members that have links.
 
     ``members``: (key, id), of keys with several members, each once; ``payloads``:
-    (id, payload) of those; ``verify`` confirms candidates (a, b) that pass ``near``.
+    (id, payload) of those; ``verify`` confirms candidates (a, b) that pass ``near``;
+    ``whole``: (id, line) of the members, and what joins a group of those.
     """
     first = _leaders(members)
     tested = materialize(_paired(first, payloads, near), "tested")
-    forget(first)
     links = materialize(verify(tested), "links")
     found, most = components(links), MOST
+    if whole:
+        joining, large = _wholes(first, found, *whole)
+        links = links.union(joining)
+        if not joining.isEmpty():
+            older, found = found, components(links)
+            forget(older)
+        if large.isEmpty():
+            forget(first, tested, links, large)
+            return found
+        members = materialize(members.join(large, "id", "left_semi"), "large-members")
+        forget(large)
+    forget(first)
     tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     while (dealt := _blocks(members, found, payloads)) is not None:
         listed = materialize(_compare(dealt, near, most).groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")

@@ -298,6 +298,26 @@ def test_banded_words_against_the_table(cases):
     assert got == [edits(a, b) <= k for a, b, k in zip(x, y, most, strict=True)]
 
 
+def test_groups_as_wholes_against_all_pairs():
+    """Copies of copies with word-long edits, near and far, joined in place."""
+    rng = random.Random(21)
+    base = "".join(rng.choice(["th", "er", "on", "an", "ing", " ", ", "]) for _ in range(260))[:520]
+    lines = [base]
+    for _ in range(150):
+        b = list(rng.choice(lines))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(b) - 9)
+            b[at : at + rng.randint(0, 8)] = rng.choice(["", "new", "x", "another"])
+        lines.append("".join(b))
+    lines = sorted({*lines, "short line", "y" * 70, "y" * 71, *[base * 9 + "z" * k for k in (0, 60, 90, 400)]})
+    rng.shuffle(lines)
+    per = linejoin.PER_EDIT
+    wanted = components([(a, b) for a in lines for b in lines if a < b and edits_within(a, b, allowed(a, b, per))])
+    parts = leaders.Parts(np.arange(len(lines)))
+    links = [(lines[a], lines[b]) for i, j in linejoin.joining(per)([t.encode() for t in lines], parts) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    assert components(links) == wanted and len(set(wanted.values())) > 1 and all(edits_within(a, b, allowed(a, b, per)) for a, b in links) and len(links) < len(lines)
+
+
 def test_line_threshold_grows_with_length(make_docs):
     """Near copies with several edits, at and just over the threshold, against all pairs; short, empty and very long lines among them."""
     rng = random.Random(11)
@@ -323,8 +343,10 @@ def test_line_threshold_grows_with_length(make_docs):
     assert found == {i: (first[part.get(t, t)], first[part.get(t, t)] == i) for i, t in rows}
 
 
-def test_a_common_gram_keeps_its_links(make_docs, monkeypatch):
+@pytest.mark.parametrize("whole", [0, 1 << 14])
+def test_a_common_gram_keeps_its_links(make_docs, monkeypatch, whole):
     """Many lines with one passage, some of them near copies: common keys go round the buckets and lose nothing."""
+    monkeypatch.setattr(leaders, "WHOLE", whole)
     monkeypatch.setattr(linejoin, "COMMON", 3)
     monkeypatch.setattr(leaders, "BLOCK", 16)
     rng = random.Random(5)
