@@ -35,6 +35,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +69,12 @@ def _walk_tables() -> np.ndarray:
     return out.reshape(WALKS, PERIOD * CLASSES)
 
 
+@lru_cache(maxsize=1)
+def _walk_states() -> np.ndarray:
+    """The same tables one after another, a state being the place of its step's first class."""
+    return ((_walk_tables() + np.arange(WALKS)[:, None] * PERIOD) * CLASSES).reshape(-1).astype(np.int32)
+
+
 @lru_cache(maxsize=1)
 def _walk_lists() -> list[list[int]]:
     """The same tables for texts that go one by one: a state is step * CLASSES."""
@@ -125,10 +132,11 @@ class Walks(NamedTuple):
         """How many steps walk ``w`` has taken when it passes a character, from the text's beginning."""
         size = np.diff(self.first)
         some = size > 0
-        gone = np.empty(len(self.points), np.int64)
+        gone = np.empty(len(self.points), np.int32)
         gone[1:] = self.state[w, :-1]
         gone[self.first[:-1][some]] = self.begin[w, some]
-        gone = np.cumsum((self.state[w].astype(np.int64) - gone - 1) % PERIOD + 1)
+        # PERIOD is a power of two.
+        gone = np.cumsum(((self.state[w] - gone - 1) & (PERIOD - 1)) + 1, dtype=np.int64)
         heads = self.first[:-1][some]
         base = np.where(heads > 0, gone[np.maximum(heads - 1, 0)], 0)
         return gone - np.repeat(base, size[some])
@@ -144,8 +152,7 @@ def walk(points: np.ndarray, first: np.ndarray, begin: np.ndarray | None = None)
     kinds, size = _class_table()[points], np.diff(first)
     state = np.zeros((WALKS, len(points)), np.uint16)
     begin = np.zeros((WALKS, len(size)), np.int64) if begin is None else begin
-    tables, order = _walk_tables(), np.argsort(-size, kind="stable")
-    flat, shift = tables.reshape(-1), (np.arange(WALKS) * tables.shape[1])[:, None]
+    order, flat = np.argsort(-size, kind="stable"), _walk_states()
     at = 0
     while at < len(order) and size[order[at]]:
         # Texts of like length go together; their columns hold a bounded number of characters.
@@ -158,15 +165,17 @@ def walk(points: np.ndarray, first: np.ndarray, begin: np.ndarray | None = None)
         lockstep = int(np.searchsorted(-live, -FEW, "right"))
         now = begin[:, some]
         if lockstep:
-            kind = np.zeros((lockstep, len(some)), np.uint8)
+            kind = np.zeros((len(some), lockstep), np.uint8)
             for k, (a, n) in enumerate(zip(start.tolist(), np.minimum(length, lockstep).tolist(), strict=True)):
-                kind[:n, k] = kinds[a : a + n]
-            seen = np.zeros((lockstep, WALKS, len(some)), np.uint16)
-            for t in range(lockstep):
-                n = int(live[t])
-                now[:, :n] = flat.take(now[:, :n] * CLASSES + kind[t, :n] + shift)
-                seen[t, :, :n] = now[:, :n]
-            turned = np.ascontiguousarray(seen.transpose(2, 1, 0))
+                kind[k, :n] = kinds[a : a + n]
+            kind = np.ascontiguousarray(kind.T)
+            seen = np.zeros((lockstep, WALKS, len(some)), np.int32)
+            state_now = ((now + np.arange(WALKS)[:, None] * PERIOD) * CLASSES).astype(np.int32)
+            for t, n in enumerate(live[:lockstep].tolist()):
+                state_now[:, :n] = flat.take(state_now[:, :n] + kind[t, :n])
+                seen[t, :, :n] = state_now[:, :n]
+            now = (state_now // CLASSES) & (PERIOD - 1)
+            turned = np.ascontiguousarray(((seen // CLASSES) & (PERIOD - 1)).astype(np.uint16).transpose(2, 1, 0))
             for k, (a, n) in enumerate(zip(start.tolist(), np.minimum(length, lockstep).tolist(), strict=True)):
                 state[:, a : a + n] = turned[k, :, :n]
         for k in range(int(live[lockstep]) if lockstep < longest else 0):
@@ -191,14 +200,22 @@ def _last(taken: np.ndarray, first: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return out
 
 
-def _emitted(walks: Walks, taken: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Code points that texts ``rows`` emit at step positions ``at`` (one row of positions a text)."""
-    reach = int(taken.max(initial=0)) + 2
-    owner = np.repeat(np.arange(len(walks.first) - 1), np.diff(walks.first))
-    place = np.searchsorted(taken + owner * reach, at + rows[:, None] * reach, side="right")
+def _emitted(walks: Walks, ends: np.ndarray, reach: int, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points that texts ``rows`` emit at step positions ``at``; ``ends`` are the steps taken, ``reach`` apart from text to text."""
+    asked = at + rows * reach
+    # Searches in order find their places near one another.
+    order = np.argsort(asked, kind="stable")
+    place = np.empty(len(at), np.int64)
+    place[order] = np.searchsorted(ends, asked[order], side="right")
     return walks.points[np.minimum(place, len(walks.points) - 1)]
 
 
+def _apart(walks: Walks, taken: np.ndarray) -> tuple[np.ndarray, int]:
+    """Steps taken, far enough apart from text to text that one search serves all."""
+    reach = int(taken.max(initial=0)) + 2
+    return taken + np.repeat(np.arange(len(walks.first) - 1) * reach, np.diff(walks.first)), reach
+
+
 def _samples(walks: Walks, edits: tuple[np.ndarray, Walks] | None = None) -> list[np.ndarray]:
     """(texts, WALKS * SAMPLES) samples of four bits of the texts; with (cut, tail), also of their first ``cut`` characters and the tail's after them."""
     size = np.diff(walks.first)
@@ -208,9 +225,11 @@ def _samples(walks: Walks, edits: tuple[np.ndarray, Walks] | None = None) -> lis
         taken = walks.taken(w)
         total = _last(taken, walks.first, size)
         some = np.flatnonzero(total > 0)
+        ends, reach = _apart(walks, taken)
         if len(some):
             at = _positions.of(total[some])
-            out[0][some, w] = _bits(_emitted(walks, taken, rows[some], at), at)
+            found = _emitted(walks, ends, reach, np.repeat(rows[some], SAMPLES), at.reshape(-1))
+            out[0][some, w] = _bits(found.reshape(at.shape), at)
         if edits is None:
             continue
         cut, tail = edits
@@ -222,10 +241,11 @@ def _samples(walks: Walks, edits: tuple[np.ndarray, Walks] | None = None) -> lis
             at, end = _positions.of(total[some]), head[some][:, None]
             points = np.zeros(at.shape, np.uint32)
             early = at < end
+            owner = np.broadcast_to(rows[some][:, None], at.shape)
             if early.any():
-                points[early] = _emitted(walks, taken, rows[some], np.minimum(at, np.maximum(end - 1, 0)))[early]
+                points[early] = _emitted(walks, ends, reach, owner[early], at[early])
             if not early.all():
-                points[~early] = _emitted(tail, beyond, rows[some], np.maximum(at - end, 0))[~early]
+                points[~early] = _emitted(tail, *_apart(tail, beyond), owner[~early], (at - end)[~early])
             out[1][some, w] = _bits(points, at)
     return [x.reshape(n, WALKS * SAMPLES) for x in out]
 
@@ -284,8 +304,8 @@ def _with_edges(batch: pa.RecordBatch | None, edges: list[tuple[int, str, int |
 def _neighbours(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every row of a sorted partition against the next; its first and last rows go out as edges."""
     part, held_id, held, begun = TaskContext.get().partitionId(), None, "", False
-    for batch in batches(frames, "text", HELD):
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+    for batch in batches(frames, "packed", HELD // 2):
+        ids, texts = batch.column("doc_id").to_pylist(), [zstandard.decompress(b).decode("utf-8", "surrogatepass") for b in batch.column("packed").to_pylist()]
         edges = [] if begun else [(part, "head", ids[0], texts[0])]
         if begun:
             ids, texts = [held_id, *ids], [held, *texts]
@@ -301,12 +321,22 @@ def _across(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _compared(*(batch.column(c).to_pylist() for c in ("a", "x", "y")), False)
 
 
+def _shrunk(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one: they are sorted whole."""
+    small = zstandard.ZstdCompressor(level=1)
+    for batch in frames:
+        packed = pa.array([small.compress(b) for b in batch.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_hash"), batch.column("_row"), packed], ["doc_id", "_hash", "_row", "packed"])
+
+
 def compare_neighbours(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Fingerprints of all texts, of their edited texts, their likeness to both those and the next document's, and the least id of the texts that likeness links."""
     parts = width(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_row"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "_row"]
-    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_hash"), F.monotonically_increasing_id().alias("_row"), F.encode(text, "UTF-8").alias("text"))
+    rows = rows.mapInArrow(_shrunk, "doc_id long, _hash long, _row long, packed binary")
+    order = [F.col("doc_id").desc_nulls_last(), "_hash", "_row"]
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "packed")
     done = materialize(placed.mapInArrow(_neighbours, _RESULT + _EDGE), "editprint")
     edges = done.where("_edge is not null").select("_pid", "_edge", "_id", "_text")
     # The ids of the partitions that have rows: one number a partition.
