@@ -137,8 +137,8 @@ class Parts:
         return out
 
 
-#: Links (rows i, rows j) that join parts of a group of texts; the parts are updated.
-Whole = Callable[[list[bytes], Parts], Iterator[tuple[np.ndarray, np.ndarray]]]
+#: Links (rows i, rows j) that join parts of groups of texts that begin at the places given; the parts are updated.
+Whole = Callable[[list[bytes], Parts, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]
 
 
 def _wholes(first: DataFrame, found: DataFrame, texts: DataFrame, whole: Whole) -> tuple[DataFrame, DataFrame]:
@@ -151,12 +151,10 @@ def _wholes(first: DataFrame, found: DataFrame, texts: DataFrame, whole: Whole)
 
     def join(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first_rows in runs(frames, ("group",)):
-            for a, b in zip(first_rows.tolist(), [*first_rows[1:].tolist(), table.num_rows], strict=True):
-                own = table.slice(a, b - a)
-                ids = own.column("id").to_numpy()
-                for i, j in whole(own.column("line").to_pylist(), Parts(own.column("part").to_numpy())):
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
+            ids = table.column("id").to_numpy()
+            for i, j in whole(table.column("line").to_pylist(), Parts(table.column("part").to_numpy()), first_rows):
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
 
     rows = placed.join(sizes.where("small").select("group"), "group").join(texts, "id").select("group", "id", "part", "line")
     links = materialize(rows.repartition(width(first.sparkSession), "group").sortWithinPartitions("group").mapInArrow(join, "a long, b long"), "links")

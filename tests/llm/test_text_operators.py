@@ -313,9 +313,12 @@ def test_groups_as_wholes_against_all_pairs():
     rng.shuffle(lines)
     per = linejoin.PER_EDIT
     wanted = components([(a, b) for a in lines for b in lines if a < b and edits_within(a, b, allowed(a, b, per))])
-    parts = leaders.Parts(np.arange(len(lines)))
-    links = [(lines[a], lines[b]) for i, j in linejoin.joining(per)([t.encode() for t in lines], parts) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
-    assert components(links) == wanted and len(set(wanted.values())) > 1 and all(edits_within(a, b, allowed(a, b, per)) for a, b in links) and len(links) < len(lines)
+    parts = leaders.Parts(np.arange(2 * len(lines)))
+    both = [t.encode() for t in lines] * 2
+    found = list(linejoin.joining(per)(both, parts, np.array([0, len(lines)])))
+    assert all(((i < len(lines)) == (j < len(lines))).all() for i, j in found)
+    links = [((lines * 2)[a], (lines * 2)[b]) for i, j in found for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    assert components(links) == wanted and len(set(wanted.values())) > 1 and all(edits_within(a, b, allowed(a, b, per)) for a, b in links) and len(links) < 2 * len(lines)
 
 
 def test_line_threshold_grows_with_length(make_docs):
