@@ -298,6 +298,24 @@ def test_banded_words_against_the_table(cases):
     assert got == [edits(a, b) <= k for a, b, k in zip(x, y, most, strict=True)]
 
 
+@pytest.mark.parametrize("words", [2, 4])
+def test_wide_bands_against_the_bits_of_whole_lines(words):
+    rng = random.Random(words)
+    x, y, most = [], [], []
+    while len(x) < 60:
+        k = rng.randint(16 * words, 32 * words - 1)
+        a = "".join(rng.choice("abc ") for _ in range(rng.randint(200, 900)))
+        b = changed(rng, a, max(1, min(len(a) // 3, k + rng.randint(-12, 12))))
+        a, b = sorted((a, b), key=len, reverse=True)
+        if len(a) - len(b) <= k:
+            x.append(a)
+            y.append(b)
+            most.append(k)
+    codes = [[np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in side] for side in (x, y)]
+    got = (linejoin._wide_distances(*codes, np.array(most), words) <= np.array(most)).tolist()
+    assert got == [linejoin.within(a, b, k) for a, b, k in zip(x, y, most, strict=True)] and 5 < sum(got) < 55
+
+
 def test_groups_as_wholes_against_all_pairs():
     """Copies of copies with word-long edits, near and far, joined in place."""
     rng = random.Random(21)
