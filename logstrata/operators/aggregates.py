@@ -36,9 +36,9 @@ def level_histogram(records: DataFrame, level: Column) -> DataFrame:
     return records.select(level.alias("level")).where("level is not null").groupBy("level").agg(F.count("*").alias("records")).orderBy(F.desc("records"), "level").limit(MAX_LEVELS)
 
 
-def top_terms(records: DataFrame, order: Column, exclude: tuple[str, ...] = (), min_count: int = 3, limit: int = 20, header: str | None = None) -> DataFrame:
+def top_terms(records: DataFrame, order: Column, exclude: tuple[str, ...] = (), min_count: int = 3, limit: int = 20, header: str | None = None, token: str = T.TOKEN) -> DataFrame:
     """Tokens by the number of records that hold them; equal counts by first appearance. Only the first 3 * limit are looked at."""
-    found = records.select(order.alias("_order"), F.posexplode(T.tokens(F.col("text"), header)).alias("_pos", "token"))
+    found = records.select(order.alias("_order"), F.posexplode(T.tokens(F.col("text"), header, token)).alias("_pos", "token"))
     if exclude:
         found = found.where(~F.col("token").isin(*exclude))
     counted = found.groupBy("token").agg(F.count("*").alias("records"), F.min(F.struct("_order", "_pos")).alias("_first"))
@@ -102,17 +102,17 @@ def value_distribution(hits: DataFrame, order: Column, least: int = VALUE_MIN_CO
     return counted.withColumn("position", place.cast("long")).where(F.col("position") <= limit).select("template", "tag", "position", "value", "n")
 
 
-def survey_templates(records: DataFrame, order: Column, limit: int = 20) -> DataFrame:
+def survey_templates(records: DataFrame, order: Column, limit: int = 20, normalizers: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """The most frequent templates exactly, equal counts by template."""
-    keyed = records.select(T.template(F.col("text")).alias("template"), order.alias("_order"), "ts", "text")
+    keyed = records.select(T.template(F.col("text"), normalizers).alias("template"), order.alias("_order"), "ts", "text")
     counted = keyed.groupBy("template").agg(F.count("*").alias("records"), F.min("_order").alias("first_order"), F.min_by("ts", "_order").alias("first_seen"), F.min_by(F.substring(F.trim("text"), 1, T.SAMPLE_CHARS), "_order").alias("sample"))
     best = counted.orderBy(F.desc("records"), "template").limit(min(limit, MAX_TEMPLATES))
     return best.withColumn("template", F.substring("template", 1, TEMPLATE_CHARS))
 
 
-def template_samples(records: DataFrame, order: Column, templates: DataFrame, most: int = 3) -> DataFrame:
+def template_samples(records: DataFrame, order: Column, templates: DataFrame, most: int = 3, normalizers: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """(template, position, order, ts, sample): the first records of each of the few ``templates``; a limit per group is kept before rows are shuffled."""
-    keyed = records.select(T.template(F.col("text")).alias("template"), order.alias("order"), "ts", F.substring(F.trim("text"), 1, T.SAMPLE_CHARS).alias("sample"))
+    keyed = records.select(T.template(F.col("text"), normalizers).alias("template"), order.alias("order"), "ts", F.substring(F.trim("text"), 1, T.SAMPLE_CHARS).alias("sample"))
     few = keyed.join(F.broadcast(templates.select("template").limit(MAX_TEMPLATES)), "template", "left_semi")
     place = F.row_number().over(Window.partitionBy("template").orderBy("order"))
     return few.withColumn("position", place.cast("long")).where(F.col("position") <= min(most, MAX_SAMPLES)).select("template", "position", "order", "ts", "sample")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from logstrata.functions import times
 from logstrata.functions.patterns import check, group_names, java_group, to_java
+from logstrata.functions.text import TOKEN
 
 # Key names tried in order, and the share of lines that makes a source JSON lines.
 TIME_KEYS = ("ts", "time", "timestamp", "@timestamp", "datetime", "eventTime")
@@ -148,6 +149,23 @@ class Format:
     normalizers: tuple[tuple[str, str], ...] = ()
 
 
+@dataclass(frozen=True)
+class Hooks:
+    """What a layout says about its records' texts: the header of each line, what a token is, tags of its own."""
+
+    header: str | None = None
+    token: str = TOKEN
+    normalizers: tuple[tuple[str, str], ...] = ()
+
+
+def hooks(spec: Any) -> Hooks:
+    """The hooks of an inline description; names and lists of layouts have none."""
+    if not isinstance(spec, dict):
+        return Hooks()
+    rules = tuple((to_java(check(p)), tag) for p, tag in spec.get("normalizers") or ())
+    return Hooks(to_java(check(spec["header_strip"])) if spec.get("header_strip") else None, to_java(check(spec["token"])) if spec.get("token") else TOKEN, rules)
+
+
 def balance(text: str, stack: str = "") -> str:
     """Openers that are still open, innermost last; closers that close nothing are passed over."""
     pairs = {")": "(", "]": "[", "}": "{"}

@@ -80,14 +80,14 @@ def search(spark: SparkSession, path: str, query: str, *, regex: bool = False, s
     counts = filters.summary(scoped).agg(F.sum("scoped_records").alias("scoped"), F.sum("matched_records").alias("matched")).first()
     matched = int(counts["matched"] or 0)
     if not matched:
-        tokens = [r["token"] for r in aggregates.top_terms(scoped, F.col("start_line"), min_count=1, limit=5).collect()]
+        tokens = [r["token"] for r in aggregates.top_terms(scoped, F.col("start_line"), min_count=1, limit=5, header=segment.hooks(kind).header, token=segment.hooks(kind).token).collect()]
         return envelope("search", "no_match", "unknown", coverage={"scoped_records": int(counts["scoped"] or 0)}, next_queries=tokens, data={"segmenter": kind})
     hits = filters.hits(scoped, max_line_chars).join(_digests(spark, lines), "source_id")
     shown = context.pointers(hits, F.col("sha256"), max_evidence)
     evidence = [r.asDict() for r in shown.select("uri", "source_id", "start_line", "end_line", "term", "text").collect()]
     data: dict[str, Any] = {"matched_records": matched, "segmenter": kind}
     if fold:
-        folded = aggregates.fold(filters.hits(scoped), F.col("start_line")).orderBy(F.desc("records"), "first_order").limit(20)
+        folded = aggregates.fold(filters.hits(scoped), F.col("start_line"), segment.hooks(kind).normalizers).orderBy(F.desc("records"), "first_order").limit(20)
         data["templates"] = [r.asDict() for r in folded.collect()]
     status = "partial" if matched > len(evidence) else "ok"
     return fit(envelope("search", status, "supported", evidence=evidence, coverage={"scoped_records": int(counts["scoped"]), "matched_records": matched}, data=data))
@@ -100,9 +100,10 @@ def survey(spark: SparkSession, path: str, *, segmenter: str | dict[str, Any] =
     scoped = records.where(filters.in_time(after, before))
     order = F.col("start_line")
     fields = [F.col("fields")[k] for k in segment.LEVEL_KEYS]
-    templates = materialize(aggregates.survey_templates(scoped, order, max_templates), "survey")
+    rules = segment.hooks(kind).normalizers
+    templates = materialize(aggregates.survey_templates(scoped, order, max_templates, rules), "survey")
     shown: dict[str, list[dict[str, Any]]] = {}
-    for row in aggregates.template_samples(scoped, order, templates, samples).orderBy("template", "position").collect():
+    for row in aggregates.template_samples(scoped, order, templates, samples, rules).orderBy("template", "position").collect():
         shown.setdefault(row["template"], []).append({"line": row["order"], "ts": row["ts"], "text": row["sample"]})
     data = {
         "range": aggregates.time_range(scoped).first().asDict(),

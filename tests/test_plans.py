@@ -91,6 +91,15 @@ def spec_of(log, rules=(), **parts):
     return {"schema_version": 2, "name": "errors", "source": {"path": log}, "filter": {"grep": "ERROR"}, "assert": {"rules": list(rules)}} | parts
 
 
+def test_hooks_of_a_layout(spark, log):
+    """A layout's header, token rule and tags take effect in folds and terms."""
+    layout = {"type": "format", "start": r"^(?P<ts>\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})", "layouts": ["%Y-%m-%d %H:%M:%S"], "header_strip": r"\S+ \S+ \w+ ", "token": r"[a-z]{5,}", "normalizers": [[r"request \d+", "<REQ>"]]}
+    folded = tools.search(spark, log, "ERROR", segmenter=layout, fold=True)
+    assert [t["template"] for t in folded["data"]["templates"]] == ["<TS> ERROR <REQ> from <IP>"]
+    assert tools.search(spark, log, "absent", segmenter=layout)["next_queries"] == ["request"]
+    assert tools.survey(spark, log, segmenter=layout)["data"]["templates"][0]["template"] == "<TS> INFO <REQ> from <IP>"
+
+
 def test_scenarios(spark, log, tmp_path):
     rules = [{"type": "count", "match": "ERROR", "exact": 4}, {"type": "absent", "match": "FATAL"}, {"type": "contains", "match": "request"}, {"type": "sequence", "events": ["request 5", "request 10"], "within": "5s"}]
     spec = spec_of(log, rules)
