@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 #: Seconds between two requests for a collection on the driver.
-COLLECT_EVERY = 2.0
+COLLECT_EVERY = 0.5
 _collected = [0.0]
 #: Folders of applications without the setting.
 _own: dict[str, str] = {}
@@ -44,11 +44,11 @@ def materialize(frame: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     for made in _passing:
         made.append(path)
-    frame.write.option("compression", "zstd").parquet(path)
+    # Shuffle files of written stages go when the driver's collector meets their handles, which it does not right after the writing.
     if time.monotonic() - _collected[0] >= COLLECT_EVERY:
-        # Shuffle files of written stages go when the driver's collector meets their handles.
         spark._jvm.System.gc()
         _collected[0] = time.monotonic()
+    frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
