@@ -38,7 +38,7 @@ SMALL, PAIRS, STEP = 24, 1 << 17, 4096
 #: Candidates of a member in the first round.
 MOST = 4
 #: Members, and bytes of their texts, up to which a group is compared as a whole.
-WHOLE, WHOLE_BYTES = 1 << 14, 32 << 20
+WHOLE, WHOLE_BYTES = 1 << 16, 64 << 20
 #: near(payloads, keys)(i, j): closeness of payloads i and j, negative where they cannot be linked.
 #: Given the keys of the rows, it may leave out pairs that another key which they share will bring.
 Closeness = Callable[[np.ndarray, np.ndarray], np.ndarray]
