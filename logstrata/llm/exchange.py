@@ -68,8 +68,10 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def dealt(keys: np.ndarray, buckets: int) -> Iterable[tuple[int, slice]]:
     """(bucket, slice) of sorted keys, for the buckets that have any."""
+    if not len(keys):
+        return ()
     own = bucket_of(keys, buckets)
-    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     return ((int(own[a]), slice(a, b)) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True))
 
 
