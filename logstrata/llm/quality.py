@@ -24,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,22 +113,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     def rates(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, "text"):
             found = term_rates(batch.column("text"), terms)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([r.tobytes() for r in found], pa.binary())], ["doc_id", "y", "rates"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([zstandard.compress(r.tobytes(), 1) for r in found], pa.binary())], ["doc_id", "y", "rates"])
 
     rows = sample(docs, labels, label, per_class, ~held_out()).select("doc_id", "y", "text").mapInArrow(rates, "doc_id long, y int, rates binary").toPandas().sort_values("doc_id")
     y = rows["y"].to_numpy(np.float64)
-    x = np.frombuffer(b"".join(rows["rates"]), np.float32).reshape(len(rows), 2 * terms).astype(np.float64)
+    # One matrix in single precision is all that the driver holds of the sample.
+    x = np.zeros((len(rows), 2 * terms), np.float32)
+    for row, blob in zip(x, rows.pop("rates"), strict=True):
+        row[:] = np.frombuffer(zstandard.decompress(blob), np.float32)
     some = x.any(axis=1)
     prior = float(y.mean()) if len(y) else 0.5
-    x, y = x[some], y[some]
-    weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
+    if not some.all():
+        x, y = x[some], y[some]
+    weights = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1
     if not len(x):
         return Model(weights, np.zeros((2 * terms, 1)), np.zeros((0, 1)), y, prior)
     # The right singular vectors come from the small matrix of term products.
-    weighted = x * weights
-    _, vectors = np.linalg.eigh(weighted.T @ weighted)
-    basis = vectors[:, ::-1][:, :rank]
-    return Model(weights.astype(np.float32), basis.astype(np.float32), _unit(weighted @ basis).astype(np.float32), y, prior)
+    x *= weights.astype(np.float32)
+    _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
+    basis = vectors[:, ::-1][:, :rank].copy()
+    del vectors
+    return Model(weights.astype(np.float32), basis.astype(np.float32), _unit(x @ basis).astype(np.float32), y, prior)
 
 
 def vote(rates: np.ndarray, model: Model, neighbours: int = NEIGHBOURS) -> np.ndarray:
