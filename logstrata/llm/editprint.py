@@ -29,6 +29,7 @@ are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -49,7 +50,7 @@ WALKS, SAMPLES, CLASSES, PERIOD = 4, 128, 64, 1024
 #: Samples of a band (48 bits), and the least likeness of linked texts.
 BAND, LEAST = 12, 0.7
 #: Characters that go in lockstep at a time, texts from which lockstep pays, and bytes of texts held.
-CELLS, FEW, HELD = 2 << 20, 48, 3 << 20
+CELLS, FEW, HELD = 2 << 20, 32, 3 << 20
 BYTES = WALKS * SAMPLES // 2
 _U = np.uint64
 _SEED = _U(0x51A7E0F1D3C2B495)
@@ -183,7 +184,7 @@ def walk(points: np.ndarray, first: np.ndarray, begin: np.ndarray | None = None)
             rest = kinds[a:b].tolist()
             for w, table in enumerate(_walk_lists()):
                 s = int(now[w, k]) * CLASSES
-                state[w, a:b] = np.array([s := table[s | c] for c in rest]) // CLASSES
+                state[w, a:b] = np.frombuffer(array("i", [s := table[s | c] for c in rest]), np.int32) // CLASSES
     return Walks(points, first, begin, state)
 
 
