@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from logstrata.scratch import materialize, width
 
+from .rowmarks import marks_of, with_mark
+
 _SP = r"\x20\x09-\x0D"
 
 
@@ -96,5 +98,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
     """The mix: every row of ``docs`` as many times as it was drawn, with its own columns."""
     base = _base(docs, seed, ("*",))
     drawn = materialize(_drawn(base, weights, cap, seed).where("copies > 0").select("_row", "copies"), "mixing-copies")
-    copies = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
-    return base.select("_doc", "_row").join(drawn, "_row").select("_doc", copies).select("_doc.*")
+    # The number of copies goes to the rows bit by bit, so no text is moved.
+    rows, copies = base.select("_doc", "_row"), F.lit(0)
+    for k in range(int(cap).bit_length()):
+        marks = marks_of(drawn.where(F.col("copies").bitwiseAND(F.lit(1 << k)) != 0).select("_row"), "mixing-marks")
+        rows = with_mark(rows, marks, "_row", f"_bit{k}")
+        copies = copies + F.when(F.col(f"_bit{k}"), F.lit(1 << k)).otherwise(F.lit(0))
+    return rows.select("_doc", F.explode(F.array_repeat(F.lit(1), copies))).select("_doc.*")
