@@ -32,6 +32,8 @@ from .labelled import held_out, sample
 from .textkit import batches, mix64, texts, words
 
 TERMS, RANK, PER_CLASS, NEIGHBOURS = 1024, 48, 2048, 25
+#: Bytes of texts, and texts, that are looked at together: they bound a worker's memory, whatever the texts' lengths.
+TOGETHER, ROWS = 1 << 20, 512
 _U = np.uint64
 
 
@@ -45,7 +47,7 @@ class Model(NamedTuple):
 
 def _byte_kinds() -> np.ndarray:
     """0 other letters, 1 lower case, 2 upper case, 3 digits, 4 marks."""
-    kind = np.zeros(256, np.int64)
+    kind = np.zeros(256, np.uint8)
     kind[33:127] = 4
     kind[97:123], kind[65:91], kind[48:58] = 1, 2, 3
     return kind
@@ -63,7 +65,9 @@ def forms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     kind = _KINDS[data]
     counts = []
     for k in (1, 2, 3, 4):
-        sums = np.concatenate([[0], np.cumsum(kind == k)])
+        # A column holds less than 2**31 bytes.
+        sums = np.zeros(len(kind) + 1, np.int32)
+        np.cumsum(kind == k, dtype=np.int32, out=sums[1:])
         counts.append(sums[end] - sums[start])
     lower, upper, digits, marks = counts
     size = end - start
@@ -111,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     """Latent directions and vectors of the bounded sample; rows held out are never read."""
 
     def rates(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(frames, "text"):
+        for batch in batches(frames, "text", TOGETHER, ROWS):
             found = term_rates(batch.column("text"), terms)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([zstandard.compress(r.tobytes(), 1) for r in found], pa.binary())], ["doc_id", "y", "rates"])
 
@@ -157,28 +161,34 @@ def vote(rates: np.ndarray, model: Model, neighbours: int = NEIGHBOURS) -> np.nd
     return np.clip(score, 0, 1)
 
 
+def scored(frames: Iterator[pa.RecordBatch], model: Model, terms: int = TERMS) -> Iterator[pa.RecordBatch]:
+    """(_doc, score) of batches (_doc, _text); without ``_text``, of the field ``text`` of ``_doc``."""
+    named = ((b.column("_doc"), b.column("_text") if "_text" in b.schema.names else b.column("_doc").field("text")) for b in frames)
+    both = (pa.RecordBatch.from_arrays(list(columns), ["_doc", "_text"]) for columns in named)
+    for batch in batches(both, "_text", TOGETHER, ROWS):
+        found = vote(term_rates(batch.column("_text"), terms), model)
+        yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(found, pa.float64())], ["_doc", "score"])
+
+
 def score(docs: DataFrame, model: Model, terms: int = TERMS) -> DataFrame:
-    """``docs`` (columns as a struct ``_doc``) with ``score``; whole texts are read where they lie, without a shuffle."""
+    """``docs`` (columns as a struct ``_doc``, and ``_text`` unless the struct has it) with ``score``; whole texts are read where they lie, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(frames, "_text"):
-            found = vote(term_rates(batch.column("_text"), terms), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(found, pa.float64())], ["_doc", "score"])
+        yield from scored(frames, shared.value, terms)
 
-    rows = docs.select("_doc", F.coalesce("_text", F.lit("")).alias("_text"))
-    return rows.mapInArrow(apply, f"_doc {rows.schema['_doc'].dataType.simpleString()}, score double")
+    return docs.mapInArrow(apply, f"_doc {docs.schema['_doc'].dataType.simpleString()}, score double")
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     model = fit(docs, labels)
-    scored = score(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("_doc"), F.col("text").alias("_text")), model)
-    return scored.select("_doc.doc_id", "score").select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = score(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("_doc"), F.col("text").alias("_text")), model)
+    return rows.select("_doc.doc_id", "score").select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted to be good, with their own columns."""
     model = fit(docs, labels)
-    scored = score(docs.select(F.struct("*").alias("_doc"), F.col("text").alias("_text")), model)
-    return scored.where("score >= 0.5").select("_doc.*")
+    # The text goes to the workers once, within its row.
+    return score(docs.select(F.struct("*").alias("_doc")), model).where("score >= 0.5").select("_doc.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -218,6 +219,24 @@ def test_quality_without_labels(spark, make_docs):
     assert quality.scores(make_docs([]), none).collect() == []
 
 
+@pytest.mark.parametrize("texts", [["Word %d, or two." % i for i in range(10_000)], ["Some words of text %d! " % i * 90 for i in range(3_000)], [None, "", "One " * 500_000]])
+def test_scoring_holds_a_bounded_part_of_a_batch(texts):
+    model = quality.Model(np.ones(2 * quality.TERMS, np.float32), np.eye(2 * quality.TERMS, 8, dtype=np.float32), np.eye(6, 8, dtype=np.float32), np.arange(6) % 2 * 1.0, 0.4)
+    rows = pa.array([{"doc_id": i, "text": t} for i, t in enumerate(texts)])
+    batch = pa.RecordBatch.from_arrays([pa.concat_arrays([rows[:2], rows]).slice(2)], ["_doc"])
+    some = [*range(5), *range(len(texts) - 3, len(texts))]
+    expected = quality.vote(quality.term_rates(pa.array([texts[i % len(texts)] or "" for i in some])), model)
+    tracemalloc.start()
+    try:
+        found = pa.Table.from_batches(quality.scored(iter([batch]), model))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.column("_doc").combine_chunks().field("doc_id").to_pylist() == list(range(len(texts)))
+    assert found.column("score").to_numpy()[[i % len(texts) for i in some]] == pytest.approx(expected, abs=1e-5)
+    assert peak < 72 << 20
+
+
 def test_toxicity_finds_planted_words(spark, make_docs):
     rows, labels = _labelled()
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
