@@ -43,7 +43,8 @@ from pyspark.sql import functions as F
 
 from logstrata.scratch import forget, materialize, width
 
-from .leaders import Closeness, Near, joined_components
+from .leaders import Closeness, Near, joined_components, shared_keys
+from .rowmarks import marks_of, picked, with_mark
 from .textkit import batches, mix64
 
 WALKS, SAMPLES, CLASSES, PERIOD = 4, 128, 64, 1024
@@ -338,17 +339,21 @@ def compare_neighbours(docs: DataFrame, least: float = LEAST) -> DataFrame:
     rows = rows.mapInArrow(_shrunk, "doc_id long, _hash long, _row long, packed binary")
     order = [F.col("doc_id").desc_nulls_last(), "_hash", "_row"]
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "packed")
-    done = materialize(placed.mapInArrow(_neighbours, _RESULT + _EDGE), "editprint")
+    done = materialize(placed.mapInArrow(_neighbours, _RESULT + _EDGE).withColumn("row", F.monotonically_increasing_id()), "editprint")
     edges = done.where("_edge is not null").select("_pid", "_edge", "_id", "_text")
     # The ids of the partitions that have rows: one number a partition.
     full = sorted(r[0] for r in edges.where("_edge = 'head'").select("_pid").collect())
     after = docs.sparkSession.createDataFrame([(p, full[(i + 1) % len(full)]) for i, p in enumerate(full)], "_pid int, _next int")
     tails = edges.where("_edge = 'tail'").join(after, "_pid").select(F.col("_id").alias("a"), F.col("_text").alias("x"), F.col("_next").alias("_pid"))
     heads = edges.where("_edge = 'head'").select("_pid", F.col("_text").alias("y"))
-    joins = materialize(tails.join(heads, "_pid").select("a", "x", "y").mapInArrow(_across, _RESULT), "editprint-edges")
-    both = done.where("_edge is null").select(*_NAMES).unionByName(joins)
-    groups = _components(both.select("doc_id", "n_chars", F.col("fingerprint").alias("payload")), least)
-    shown = both.join(groups, "fingerprint", "left")
+    # Rows of the edges are numbered as if they were in partitions of their own.
+    across = tails.join(heads, "_pid").select("a", "x", "y").mapInArrow(_across, _RESULT)
+    joins = materialize(across.withColumn("row", F.monotonically_increasing_id() + F.lit(1 << 60)), "editprint-edges")
+    both = done.where("_edge is null").select("row", *_NAMES).unionByName(joins)
+    groups, alone = _components(both.select("row", "doc_id", "n_chars", F.col("fingerprint").alias("payload")), least)
+    marked = with_mark(both, alone, "row", "alone")
+    others = marked.where("not alone").join(groups, "fingerprint", "left")
+    shown = marked.where("alone").withColumn("component_id", F.col("doc_id")).unionByName(others)
     empty = both.where("n_chars = 0").agg(F.min("doc_id")).first()[0]
     component = F.when(F.col("n_chars") > 0, F.col("component_id")).otherwise(F.lit(empty).cast("long"))
     hexed = [F.lower(F.hex(c)).alias(c) if c.endswith("fingerprint") else F.col(c) for c in _NAMES]
@@ -373,10 +378,10 @@ def alike(least: float) -> Near:
     return near
 
 
-def _components(prints: DataFrame, least: float) -> DataFrame:
-    """(fingerprint, component_id) of the fingerprints of texts that are not empty, from (doc_id, n_chars, payload)."""
-    some = prints.where("n_chars > 0").groupBy("payload").agg(F.min("doc_id").alias("doc_id"))
-    some = materialize(some.withColumn("id", F.monotonically_increasing_id()), "prints")
+def _components(prints: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(fingerprint, component_id) of the fingerprints of texts that are not empty, and marks of the rows whose fingerprint nothing else has or is like, from (row, doc_id, n_chars, payload)."""
+    some = prints.where("n_chars > 0").groupBy("payload").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    some = materialize(some, "prints")
 
     def band(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Hashes of runs of BAND samples of each walk."""
@@ -391,15 +396,23 @@ def _components(prints: DataFrame, least: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("id")], ["key", "id"])
 
     keys = some.select("id", "payload").mapInArrow(band, "key long, id long")
-    led = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "bands")
-    members = materialize(keys.join(led, "key"), "band-members")
-    found = joined_components(members, some.select("id", "payload"), alike(least), lambda pairs: pairs)
-    named = some.select("id", "payload", "doc_id").join(found, F.col("id") == F.col("node"), "left").select(F.col("payload").alias("fingerprint"), "doc_id", F.coalesce("component", "id").alias("part"))
-    named = materialize(named, "prints-named")
-    least_ids = materialize(named.groupBy("part").agg(F.min("doc_id").alias("component_id")), "prints-least")
-    out = materialize(named.join(least_ids, "part").select("fingerprint", "component_id"), "print-groups")
-    forget(led, members, some, found, named, least_ids)
-    return out
+    members = materialize(shared_keys(keys), "band-members")
+    wanted = marks_of(members.select("id"), "band-wanted")
+    payloads = materialize(picked(some.select("id", "payload"), wanted), "band-prints")
+    found = joined_components(members, payloads, alike(least), lambda pairs: pairs)
+    # Only fingerprints that several rows have, or that are linked, are sent to their rows.
+    linked = marks_of(found.select("node"), "prints-linked")
+    marked = with_mark(some, linked, "id", "linked")
+    placed = marked.where("linked").select("id", "doc_id").join(found, F.col("id") == F.col("node")).select("id", "component", "doc_id")
+    placed = materialize(placed, "prints-placed")
+    least_ids = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = materialize(placed.join(least_ids, "component").select("id", "component_id"), "prints-named")
+    of_linked = marked.where("linked").select("id", "payload").join(named, "id").select(F.col("payload").alias("fingerprint"), "component_id")
+    repeated = marked.where("not linked and n > 1").select(F.col("payload").alias("fingerprint"), F.col("doc_id").alias("component_id"))
+    out = materialize(of_linked.union(repeated), "print-groups")
+    alone = marks_of(marked.where("not linked and n = 1").select("id"), "prints-alone")
+    forget(members, wanted, payloads, some, found, linked, placed, named)
+    return out, alone
 
 
 def near_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:

@@ -164,6 +164,39 @@ def _wholes(first: DataFrame, found: DataFrame, texts: DataFrame, whole: Whole)
     return links, large
 
 
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(key, id, head): the entries of ``keys`` (key, id) whose key several members hold, with the least of those members.
+
+    Every entry is sent once, and none is gathered: a task's sorted entries pass by.
+    """
+
+    def several(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last entry so far with its head, and whether its key came before it.
+        held: tuple[np.ndarray, ...] | None = None
+        met = False
+        for batch in frames:
+            if not batch.num_rows:
+                continue
+            key, ids = (batch.column(c).to_numpy() for c in ("key", "id"))
+            if held is not None:
+                key, ids = np.append(held[0], key), np.append(held[1], ids)
+            same = key[1:] == key[:-1]
+            start = np.flatnonzero(np.append(True, ~same))
+            first = ids[start]
+            if held is not None:
+                first[0] = held[2][0]
+            head = np.repeat(first, np.diff(np.append(start, len(key))))
+            good = np.append(met, same)
+            good[:-1] |= same
+            met, held = bool(good[-1]), (key[-1:], ids[-1:], head[-1:])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][good[:-1]]) for x in (key, ids, head)], ["key", "id", "head"])
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["key", "id", "head"])
+
+    sorted_ = keys.select("key", "id").repartition(width(keys.sparkSession), "key").sortWithinPartitions("key", "id")
+    return sorted_.mapInArrow(several, "key long, id long, head long")
+
+
 _FOUND = "a long, b long, more_a boolean, more_b boolean"
 
 
@@ -251,7 +284,9 @@ def joined_components(members: DataFrame, payloads: DataFrame, near: Near, verif
 
     ``members``: (key, id), of keys with several members, each once; ``payloads``:
     (id, payload) of those; ``verify`` confirms candidates (a, b) that pass ``near``;
-    ``whole``: (id, line) of the members, and what joins a group of those.
+    ``whole``: (id, line) of the members, and what joins a group of those. Where
+    ``members`` name the ``head`` of each key, it leads the key, however few hold it: its
+    pairs are told once for all keys, so that payloads go to them and not to every key.
     """
     if whole:
         first = _leaders(members)
@@ -269,6 +304,14 @@ def joined_components(members: DataFrame, payloads: DataFrame, near: Near, verif
         members = materialize(members.join(large, "id", "left_semi"), "large-members")
         forget(large)
         dealt, tested = _blocks(members, found, payloads), None
+    elif "head" in members.columns:
+        first = materialize(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "led")
+        tested = materialize(_paired(first, payloads, near), "tested")
+        links = materialize(verify(tested), "links")
+        found = components(links)
+        tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        forget(first)
+        dealt = _blocks(members, found, payloads)
     else:
         crowds = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("key"), "crowds")
         if crowds.isEmpty():

@@ -162,6 +162,38 @@ def test_lost_leader_links_are_found(make_docs):
     assert found == {d: part.get(d, d) for d in sets}
 
 
+def test_shared_keys_of_long_and_short_runs(spark):
+    """Runs of one, of two and over several batches of 10 000 entries."""
+    rng = np.random.default_rng(3)
+    entries = [(7, i) for i in range(25_000)] + [(-4, 5), (-4, 3)] + [(int(k), int(i)) for k, i in zip(rng.integers(100, 3000, 2000), rng.permutation(2000), strict=True)]
+    keys = spark.createDataFrame(pa.table({"key": [k for k, _ in entries], "id": [i for _, i in entries]}))
+    members = defaultdict(list)
+    for k, i in entries:
+        members[k].append(i)
+    expected = sorted((k, i, min(own)) for k, own in members.items() if len(own) > 1 for i in own)
+    assert sorted(tuple(r) for r in leaders.shared_keys(keys).collect()) == expected
+    assert leaders.shared_keys(keys.where("key = 1")).collect() == []
+
+
+def test_fingerprints_alone_are_not_sent(make_docs, spark, monkeypatch):
+    """Only rows whose fingerprint is repeated or linked are joined to groups."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(900)) for _ in range(40)]
+    rows = list(enumerate([*texts, texts[0], texts[1][:-1] + "#", None, ""]))
+    seen = {}
+    real = editprint._components
+
+    def noted(prints, least):
+        groups, alone = real(prints, least)
+        seen["sent"], seen["alone"] = groups.count(), sum(bin(w & (1 << 64) - 1).count("1") for r in alone.collect() for w in r.words)
+        return groups, alone
+
+    monkeypatch.setattr(editprint, "_components", noted)
+    found = {r.doc_id: r.component_id for r in editprint.near_groups(make_docs(rows)).collect()}
+    assert found == {**{d: d for d in range(40)}, 40: 0, 41: 1, 42: 42, 43: 42}
+    assert seen == {"sent": 3, "alone": 38}
+
+
 @pytest.mark.parametrize("few", [0, 40, 1 << 20])
 def test_components_of_chains_and_stars(spark, few):
     rng = random.Random(1)
