@@ -175,6 +175,33 @@ def test_shared_keys_of_long_and_short_runs(spark):
     assert leaders.shared_keys(keys.where("key = 1")).collect() == []
 
 
+def test_only_keys_that_left_candidates_out_go_on(spark, monkeypatch):
+    """One key of many members, whose pairs take two rounds, and many keys of two."""
+    monkeypatch.setattr(leaders, "MOST", 4)
+    members = [(1, i) for i in range(12)] + [(100 + 20 * i + k, x) for i in range(12) for k in range(5) for x in (i, 50 + k)]
+    keys, ids = spark.createDataFrame(members, "key long, id long"), sorted({i for _, i in members})
+    payloads = spark.createDataFrame([(i, i.to_bytes(8, "little")) for i in ids], "id long, payload binary")
+    sent = []
+    blocks = leaders._blocks
+    monkeypatch.setattr(leaders, "_blocks", lambda m, *rest: (sent.append(sorted({r.key for r in m.collect()})), blocks(m, *rest))[1])
+
+    def near(blobs, _keys):
+        own = np.array([int.from_bytes(b, "little") for b in blobs])
+        return lambda i, j: np.where((own[i] < 12) & (own[j] < 12), 1.0 / (1 + np.abs(own[i] - own[j])), -1.0)
+
+    tried = []
+
+    def verify(pairs):
+        found = [(r.a, r.b) for r in pairs.collect()]
+        tried.extend((min(x), max(x)) for x in found)
+        return spark.createDataFrame([x for x in found if sum(x) == 11 and max(x) > 9], "a long, b long")
+
+    found = {r.node: r.component for r in leaders.joined_components(keys, payloads, near, verify).collect()}
+    assert found == {0: 0, 11: 0, 1: 1, 10: 1}
+    assert {(i, j) for i in range(12) for j in range(i + 1, 12)} - {(0, 1), (0, 10), (1, 11), (10, 11)} <= set(tried)
+    assert len(sent) >= 2 and sent[1:] == [[1]] * (len(sent) - 1)
+
+
 def test_fingerprints_alone_are_not_sent(make_docs, spark, monkeypatch):
     """Only rows whose fingerprint is repeated or linked are joined to groups."""
     rng = random.Random(4)
